@@ -53,10 +53,11 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_exact(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group, with all their columns."""
-    gone = exact_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
-    return kept.dropDuplicates(["doc_id"])
+    """The rows of ``docs`` that stay, one of each group, with all their columns; rows without an id go by text."""
+    gone = exact_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha"))
+    own = docs.withColumn("_own_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    kept = own.join(gone, own["doc_id"].eqNullSafe(F.col("_gone")) & (F.col("_own_sha") == F.col("_gone_sha")), "left_anti")
+    return kept.dropDuplicates(["doc_id", "_own_sha"]).drop("_own_sha")
 
 
 SQL = """

@@ -34,3 +34,5 @@ def test_null_ids_and_no_rows(spark):
     got = {(r["doc_id"], r["keep_id"], r["kept"]) for r in exact.exact_duplicates(rows).collect()}
     assert got == {(None, 1, False), (1, 1, True), (None, None, True)}
     assert exact.exact_duplicates(rows.limit(0)).count() == 0
+    kept = exact.keep_exact(rows).collect()
+    assert sorted(map(tuple, kept), key=str) == [(1, "a"), (None, "b")]
