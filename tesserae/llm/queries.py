@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, near, packing, secrets, toxicity
+from . import bpe, exact, near, packing, secrets, toxicity
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_near_dedup": op4_near_dedup,
         "op5_toxicity": op5_toxicity,
         "op6_packing": op6_packing,
+        "op7_byte_bpe": op7_byte_bpe,
         "op8_exact_dedup": op8_exact_dedup,
     }
 
