@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, language, near, packing, secrets, toxicity
+from . import bpe, exact, language, near, packing, secrets, toxicity, urls
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.predict_language(docs, language.fit(docs))
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_url_filter": op9_url_filter,
         "op10_language": op10_language,
     }
 
