@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact, language, near, packing, secrets, toxicity, urls
+from . import ann, bpe, exact, language, near, packing, repeats, secrets, toxicity, urls
 from .common import table
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_nearest_vectors": op1_nearest_vectors,
         "op2_secret_scan": op2_secret_scan,
+        "op3_repeated_passages": op3_repeated_passages,
         "op4_near_dedup": op4_near_dedup,
         "op5_toxicity": op5_toxicity,
         "op6_packing": op6_packing,
