@@ -12,7 +12,7 @@ CJK = r"⺀-⻿぀-ヿ㐀-䶿一-鿿가-힯豈-﫿ｦ-ﾟ"
 LATIN = r"[A-Za-z][A-Za-z0-9_\-]*|\p{Nd}+(?:\.\p{Nd}+)?"
 
 _ENGLISH = """your you would with will who which when what were we was very us under too to they this them their the that than such
-such should over our or on of not my me its it is into in if i how his her he have has from for does do did could can by but being been be
+some should over our or on of not my me its it is into in if i how his her he have has from for does do did could can by but being been be
 between at as are any and an all about a"""
 _CHINESE = "通过 进行 里 而 能 的 然而 为 与 因此 因为 哪些 哪个 可以 和 及 可以 但是 但 以及 并且 以 什么 人 也 了 于 会 他 它 她 们 个 中 上 下 不 或 是 有 所以 我 怎么 如何 就 都 被 这 那 其 在 一"
 ENGLISH_STOPWORDS = frozenset(_ENGLISH.split())

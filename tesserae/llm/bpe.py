@@ -25,7 +25,7 @@ from .common import small_batches, texts
 #: Longer words, in bytes, are contracted by a heap in Python: steps times rows would grow with the square.
 LONGEST = 96
 #: Words of a query, and words that a worker remembers.
-BATCH, MOST = 20_000, 350_000
+BATCH, MOST = 20_000, 700_000
 
 #: A row is a token and the one after it: a at pos, b at next, rank of the pair they make (null: none).
 STEPS = """

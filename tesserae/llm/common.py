@@ -46,6 +46,21 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The most ids that a join may broadcast: 16 MB.
+MOST_SENT = 1_000_000
+
+
+def selected(docs: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is among ``ids`` (written, without nulls), or the others.
+
+    A million ids or fewer go to the rows; more are joined by shuffling both.
+    """
+    named = ids.select(F.col("doc_id").alias("_chosen"))
+    if ids.count() <= MOST_SENT:
+        named = F.broadcast(named)
+    return docs.join(named, docs["doc_id"] == F.col("_chosen"), "left_semi" if keep else "left_anti")
+
+
 def remove(df: DataFrame) -> None:
     """Delete the files of a table that ``written`` made and that nothing reads any more."""
     spark = df.sparkSession

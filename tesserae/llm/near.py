@@ -4,7 +4,9 @@ Texts of equal shingle sets form a class, and classes are compared, not copies.
 0.85 share most of their smallest hashes. Inverted lists of those values propose pairs. Each class enters only
 the lists of its rarest values: so many that two classes which share ``SHARED`` of their values still meet. So the
 lists of a passage that a third of all texts hold stay all but empty, without a cap on any of them. Each list first
-links its members to its smallest one; then only pairs that are still in different components are compared.
+links its members to the one of the commonest values, the likely original of a family of edits. What is then still in
+different components is compared: pair by pair in short lists, and for long ones by new lists of full sets, whose
+rarest 15 % are exactly enough.
 """
 
 from __future__ import annotations
@@ -15,29 +17,31 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, texts, written
+from .common import selected, small_batches, texts, written
 
 WORDS = 5
 #: A link: 100 * intersection >= LINK * union.
 LINK = 85
-#: Values of a sketch, and how many of them enter inverted lists.
-K, LISTED = 64, 32
-#: Classes of 32 shingles or more that link share at least 12 of their 32 listed values, but for 1 pair in 10**9.
-SHARED = 12
+#: Values of a sketch.
+K = 64
+#: Sets of more than K shingles that link share at least 34 of their K values, but for 1 pair in 10**9 of those at the threshold.
+SHARED = 34
 #: Pairs whose estimate is lower than this go: 5 standard deviations of an estimate from 64 values below 0.85.
 ESTIMATE = 0.62
+#: Longer lists that hold several components go by full sets.
+SHORT = 32
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 class _Hashes(dict):
-    """Hashes of words; forgets all once it holds a million."""
+    """Hashes of words; forgets all once it holds 200,000."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -116,13 +120,54 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     open_ = passed.where("NOT whole").select("a", "b", "na", "nb")
     ids = open_.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     small_batches(docs.sparkSession, 500)
-    sets = written(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_full, "id long, shingles array<long>"))
+    full = selected(docs, written(ids)).mapInArrow(_full, "id long, shingles array<long>")
+    sets = written(full.groupBy("id").agg(F.first("shingles").alias("shingles")))
     left, right = (sets.select(F.col("id").alias(s), F.col("shingles").alias(f"s{s}")) for s in "ab")
     inner = F.size(F.array_intersect("sa", "sb"))
     sure = open_.join(left, "a").join(right, "b").select("a", "b", "na", "nb", inner.alias("i")).where(100 * F.col("i") >= LINK * (F.col("na") + F.col("nb") - F.col("i")))
     return passed.where("whole").select("a", "b").unionByName(sure.select("a", "b"))
 
 
+def _rare(values: DataFrame, listed: Column, needed: Column) -> DataFrame:
+    """v, id, n, place, common: the lists that a class enters, so that two which share ``needed`` of ``listed`` values meet.
+
+    Values that one class alone has come first and make no list; then the rest by how many classes have them.
+    common is the mean of that number over the class's values.
+    """
+    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    mine = Window.partitionBy("id")
+    single = listed - F.count(F.lit(1)).over(mine)
+    place = single + F.row_number().over(mine.orderBy("f", "v"))
+    ranked = values.join(counts, "v").select("v", "id", "n", place.alias("place"), ((single + F.sum("f").over(mine)) / listed).alias("common"))
+    return ranked.where(F.col("place") <= listed - needed + 1)
+
+
+def _alike(x: str, y: str) -> Column:
+    """Whether two sizes leave room for a link."""
+    return 100 * F.least(x, y) >= LINK * F.greatest(x, y)
+
+
+def _mixed_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """v, id, n, place, c, size: the lists whose members are in several components."""
+    placed = written(lists.join(labels, "id", "left").select("v", "id", "n", "place", F.coalesce("component", "id").alias("c")))
+    mixed = placed.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("v", "size")
+    return placed.join(mixed, "v")
+
+
+def _pairs(lists: DataFrame, full: bool) -> DataFrame:
+    """Pairs (a, b) of a list in different components whose sizes leave room for a link.
+
+    In lists of full sets the places do so as well: where two sets meet first, what both have behind it is all that they
+    can share. Pairs that link pass at the first list that they share.
+    """
+    left, right = (lists.select("v", *[F.col(x).alias(f"{s}{x}") for x in ("id", "n", "c", "place")]) for s in "ab")
+    meet = (F.col("aid") < F.col("bid")) & (F.col("ac") != F.col("bc")) & _alike("an", "bn")
+    if full:
+        most = 1 + F.least(F.col("an") - F.col("aplace"), F.col("bn") - F.col("bplace"))
+        meet &= 100 * most >= LINK * (F.col("an") + F.col("bn") - most)
+    return left.join(right, "v").where(meet).select(F.col("aid").alias("a"), F.col("bid").alias("b"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -140,27 +185,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = sketched.select(F.col("doc_id").alias("id"), "n", "sketch").where("n > 0").join(classes.select("id"), "id", "left_semi")
     reps = written(reps.groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
-    values = reps.select("id", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
-    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    mine = Window.partitionBy("id")
-    listed = F.least("n", F.lit(LISTED))
-    needed = F.least(F.lit(SHARED), F.greatest(F.lit(1), F.floor(F.col("n") / 2)))
-    place = listed - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("f", "v"))
-    lists = written(values.join(counts, "v").withColumn("place", place).where(F.col("place") <= listed - needed + 1).select("v", "id", "n"))
-
-    alike = lambda x, y: (100 * F.least(x, y) >= LINK * F.greatest(x, y))
-    heads = lists.groupBy("v").agg(F.min("id").alias("a")).join(reps.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
-    stars = written(lists.withColumnRenamed("id", "b").join(heads, "v").where((F.col("a") < F.col("b")) & alike("n", "na")).select("a", "b").distinct())
+    # Of two linked sets the smaller has LINK % of the larger one's size at least, and so has their intersection. The
+    # union has n * 100 / LINK shingles at most, of which 100 - LINK % can push shared ones out of a sketch.
+    shared = F.ceil(F.col("n") * LINK / 100)
+    some = F.greatest(F.lit(SHARED), F.least(shared, F.floor(K - F.col("n") * (100 - LINK) / LINK)))
+    needed = F.when(F.col("n") * 100 <= K * LINK, shared).otherwise(some)
+    lists = written(_rare(reps.select("id", "n", F.explode("sketch").alias("v")), F.least("n", F.lit(K)), needed))
+
+    heads = lists.groupBy("v").agg(F.max(F.struct("common", "id", "n")).alias("head")).select("v", F.col("head.id").alias("h"), F.col("head.n").alias("nh"))
+    stars = lists.join(heads, "v").where((F.col("id") != F.col("h")) & _alike("n", "nh"))
+    stars = written(stars.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct())
     links = written(_verified(stars, reps, t))
     labels = components(links)
 
-    placed = written(lists.join(labels, "id", "left").select("v", "id", "n", F.coalesce("component", "id").alias("c")))
-    mixed = placed.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v")
-    left = placed.join(mixed, "v", "left_semi").select("v", *[F.col(x).alias(f"a{x}") for x in ("id", "n", "c")])
-    right = placed.select("v", *[F.col(x).alias(f"b{x}") for x in ("id", "n", "c")])
-    more = left.join(right, "v").where((F.col("aid") < F.col("bid")) & (F.col("ac") != F.col("bc")) & alike("an", "bn"))
-    more = more.select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    found = written(_verified(written(more), reps, t))
+    mixed = _mixed_lists(lists, labels)
+    short = _pairs(mixed.where(F.col("size") <= SHORT), full=False)
+    crowded = written(mixed.where(F.col("size") > SHORT).select(F.col("id").alias("doc_id")).distinct())
+    full = selected(t, crowded).mapInArrow(_full, "id long, shingles array<long>").groupBy("id").agg(F.first("shingles").alias("shingles"))
+    full = full.select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("v"))
+    long = _pairs(_mixed_lists(written(_rare(full, F.col("n"), shared)), labels), full=True)
+    more = written(short.unionByName(long).distinct().join(stars, ["a", "b"], "left_anti"))
+    found = written(_verified(more, reps, t))
     labels = components(links.unionByName(found)) if found.limit(1).count() else labels
 
     label = classes.join(labels, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
@@ -172,5 +217,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_near(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group of near duplicates, with all their columns."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return selected(docs, written(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()), keep=False)

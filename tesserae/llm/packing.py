@@ -8,7 +8,7 @@ next one. What the districts leave in badly filled bins is dealt again, to fewer
 
 from __future__ import annotations
 
-import re
+import os
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
@@ -21,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from .common import small_batches, texts, written
 
@@ -35,31 +35,75 @@ ROUNDS = 2
 KEY = ["doc", "piece", "copy"]
 NO_ID = -(2**63)
 #: Where str.split, str.lower and the tokenizer's own steps could differ: controls that only str.split takes for white space, and the sigma.
-_ODD = re.compile("[\x1c-\x1fΣ]")
+_ODD = "\x1c\x1d\x1e\x1fΣ"
 
 
 class Encoder:
-    """Ids of whole texts, word by word: the tokenizer drops white space and never joins words across it."""
+    """Ids of whole texts, word by word: the tokenizer drops white space and never joins words across it.
 
-    MOST = 400_000
+    Words are kept in lower case. A full stop or comma behind a letter is a token of its own, so "the" and "the," share
+    an encoding; and a word of letters alone is just what the tokenizer's pattern cuts out, so it goes
+    straight to the merges.
+    """
+
+    #: Each table has two generations of so many: a word of the older one moves up when it is met again.
+    WORDS, STEMS = 300_000, 180_000
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.merges.encode_special_tokens = True
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # The last token of a word tells that it is the last.
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_stems: dict[str, bytes] = {}
+        self.marks = dict(zip(".,", self._encode([".", ","]), strict=True))
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _merge(self, plain: list[str]) -> list[bytes]:
+        """Ids of words of letters, all in one call."""
+        if not plain:
+            return []
+        ids = np.array(self.merges.encode_batch_fast([plain], add_special_tokens=False, is_pretokenized=True)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _learn(self, words: list[str]) -> None:
+        cut = [(w, w[:-1] if w[-1] in self.marks and w[-2:-1].isalpha() else w) for w in words]
+        stems = {s for _, s in cut}.difference(self.stems)
+        again = stems.intersection(self.old_stems)
+        self.stems.update(zip(again, map(self.old_stems.__getitem__, again), strict=True))
+        stems -= again
+        plain = [s for s in stems if s.isalpha()]
+        other = [s for s in stems if not s.isalpha()]
+        self.stems.update(zip(plain, self._merge(plain), strict=True))
+        self.stems.update(zip(other, self._encode(other), strict=True))
+        for w, s in cut:
+            self.words[w] = self.stems[s] if w is s else self.stems[s] + self.marks[w[-1]]
+
     def batch(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the separator at its end."""
-        words = [None if _ODD.search(t) or not (t.isascii() or unicodedata.is_normalized("NFC", t)) else t.split() for t in batch]
-        if len(self.known) > self.MOST:
-            self.known.clear()
-        new = list({w for ws in words if ws for w in ws}.difference(self.known))
+        words = [None if any(c in t for c in _ODD) or not (t.isascii() or unicodedata.is_normalized("NFC", t)) else t.lower().split() for t in batch]
+        if len(self.words) > self.WORDS:
+            self.words, self.old_words = {}, self.words
+        if len(self.stems) > self.STEMS:
+            self.stems, self.old_stems = {}, self.stems
+        new = set().union(*(w for w in words if w)).difference(self.words)
+        again = new.intersection(self.old_words)
+        self.words.update(zip(again, map(self.old_words.__getitem__, again), strict=True))
+        new = list(new - again)
         for i in range(0, len(new), 50_000):
-            self.known.update(zip(new[i : i + 50_000], self._encode(new[i : i + 50_000]), strict=True))
-        end, get = np.array([SEPARATOR], "<u4").tobytes(), self.known.__getitem__
+            self._learn(new[i : i + 50_000])
+        end, get = np.array([SEPARATOR], "<u4").tobytes(), self.words.__getitem__
         return [(self._encode([t])[0] if ws is None else b"".join(map(get, ws))) + end for t, ws in zip(batch, words, strict=True)]
 
 

@@ -56,6 +56,22 @@ def test_against_brute_force(spark, seed):
     assert sorted(map(tuple, near.near_duplicates(docs).collect())) == brute(rows)
 
 
+def test_a_family_of_edits_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near, "SHORT", 4)
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(5000)]
+    rows = []
+    for size in (150, 90):
+        base = [rng.choice(vocab) for _ in range(size)]
+        for i in range(70):
+            words = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 4, 6])):
+                words[rng.randrange(len(words))] = rng.choice(vocab)
+            rows.append((len(rows) * 7 + size, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, near.near_duplicates(docs).collect())) == brute(rows)
+
+
 def test_repeated_rows_null_ids_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     got = sorted(map(tuple, near.near_duplicates(docs).where("doc_id IS NOT NULL").collect()))
