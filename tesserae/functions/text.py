@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 CJK = r"⺀-⻿぀-ヿ㐀-䶿一-鿿가-힯豈-﫿ｦ-ﾟ"
 LATIN = r"[A-Za-z][A-Za-z0-9_\-]*|\p{Nd}+(?:\.\p{Nd}+)?"
 
-_ENGLISH = """your you would with will who which when what were we was very us under too to they this them their the that than such
-some should over our or on of not my me its it is into in if i how his her he have has from for does do did could can by but being been be
-between at as are any and an all about a"""
-_CHINESE = "通过 进行 里 而 能 的 然而 为 与 因此 因为 哪些 哪个 可以 和 及 可以 但是 但 以及 并且 以 什么 人 也 了 于 会 他 它 她 们 个 中 上 下 不 或 是 有 所以 我 怎么 如何 就 都 被 这 那 其 在 一"
-ENGLISH_STOPWORDS = frozenset(_ENGLISH.split())
-CHINESE_STOPWORDS = frozenset(_CHINESE.split())
+# Results depend on them.
+ENGLISH_STOPWORDS = frozenset(
+    """a an and are as at be but by for from has have he her his i if in is it its of on or
+    that the their them they this to was were will with we you your not can could would should
+    which what when who how all any some such than too very about into over under between
+    do does did been being our us me my""".split()
+)
+CHINESE_STOPWORDS = frozenset(
+    """的 了 和 是 在 我 有 也 就 不 人 都 一 与 及 或 但 而 于 其 这 那 他 她 它 们 个 上 下 中 里 为 以 被 能 会
+    可以 什么 怎么 如何 哪些 哪个 以及 并且 因为 所以 但是 然而 因此 通过 进行""".split()
+)
 STOPWORDS = ENGLISH_STOPWORDS | CHINESE_STOPWORDS
 
 
