@@ -6,7 +6,8 @@ the lists of its rarest values: so many that two classes which share ``SHARED``
 lists of a passage that a third of all texts hold stay all but empty, without a cap on any of them. Each list first
 links its members to the one of the commonest values, the likely original of a family of edits. What is then still in
 different components is compared: pair by pair in short lists, and for long ones by new lists of full sets, whose
-rarest 15 % are exactly enough.
+rarest 15 % are exactly enough. There, counts of shingles by SHAPE ranges of their hashes tell pairs that differ too
+much, without an error: two sets differ in as many shingles at least as their counts differ.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SHARED = 34
 ESTIMATE = 0.62
 #: Longer lists that hold several components go by full sets.
 SHORT = 32
+#: Ranges of hashes whose shingles are counted; a power of two.
+SHAPE = 128
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -88,6 +91,14 @@ def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists([shingles(t.as_py()) for t in b.column("text")])], ["id", "shingles"])
 
 
+def _shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shift = np.uint64(65 - SHAPE.bit_length())
+    for b in batches:
+        sets = [shingles(t.as_py()) for t in b.column("text")]
+        shapes = [np.bincount((s.view(np.uint64) >> shift).astype(np.int64), minlength=SHAPE) for s in sets]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(sets), _lists(shapes).cast(pa.list_(pa.int32()))], ["id", "shingles", "shape"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over undirected edges (a, b), for each id that has one.
 
@@ -158,13 +169,16 @@ def _pairs(lists: DataFrame, full: bool) -> DataFrame:
     """Pairs (a, b) of a list in different components whose sizes leave room for a link.
 
     In lists of full sets the places do so as well: where two sets meet first, what both have behind it is all that they
-    can share. Pairs that link pass at the first list that they share.
+    can share. Pairs that link pass at the first list that they share. So do their shapes: sets that link differ in
+    (100 - LINK) / (100 + LINK) of their sizes' sum at most.
     """
-    left, right = (lists.select("v", *[F.col(x).alias(f"{s}{x}") for x in ("id", "n", "c", "place")]) for s in "ab")
+    left, right = (lists.select("v", *[F.col(x).alias(f"{s}{x}") for x in ("id", "n", "c", "place", *(["shape"] if full else []))]) for s in "ab")
     meet = (F.col("aid") < F.col("bid")) & (F.col("ac") != F.col("bc")) & _alike("an", "bn")
     if full:
         most = 1 + F.least(F.col("an") - F.col("aplace"), F.col("bn") - F.col("bplace"))
         meet &= 100 * most >= LINK * (F.col("an") + F.col("bn") - most)
+        differ = F.aggregate(F.zip_with("ashape", "bshape", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+        meet &= (100 + LINK) * differ <= (100 - LINK) * (F.col("an") + F.col("bn"))
     return left.join(right, "v").where(meet).select(F.col("aid").alias("a"), F.col("bid").alias("b"))
 
 
@@ -201,9 +215,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = _mixed_lists(lists, labels)
     short = _pairs(mixed.where(F.col("size") <= SHORT), full=False)
     crowded = written(mixed.where(F.col("size") > SHORT).select(F.col("id").alias("doc_id")).distinct())
-    full = selected(t, crowded).mapInArrow(_full, "id long, shingles array<long>").groupBy("id").agg(F.first("shingles").alias("shingles"))
-    full = full.select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("v"))
-    long = _pairs(_mixed_lists(written(_rare(full, F.col("n"), shared)), labels), full=True)
+    full = selected(t, crowded).mapInArrow(_shaped, "id long, shingles array<long>, shape array<int>")
+    full = written(full.groupBy("id").agg(F.first("shingles").alias("shingles"), F.first("shape").alias("shape")))
+    values = full.select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("v"))
+    long = _mixed_lists(written(_rare(values, F.col("n"), shared)), labels).join(full.select("id", "shape"), "id")
+    long = _pairs(long, full=True)
     more = written(short.unionByName(long).distinct().join(stars, ["a", "b"], "left_anti"))
     found = written(_verified(more, reps, t))
     labels = components(links.unionByName(found)) if found.limit(1).count() else labels
