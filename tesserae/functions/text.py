@@ -57,9 +57,15 @@ def count_tokens(text: Column | str) -> Column:
 
 def char_ngrams(text: Column | str, n: int = 3) -> Column:
     """Character n-grams of the lower-cased text without white space; a shorter text is its own, an empty one none."""
-    t = F.regexp_replace(F.lower(normalize(text)), r"(?U)\s+", "")
-    grams = F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))
-    return F.when(F.length(t) >= n, grams).when(F.length(t) > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
+    bare = F.regexp_replace(F.lower(normalize(text)), r"(?U)\s+", "")
+    none = F.array().cast("array<string>")
+
+    def grams(t: Column) -> Column:
+        several = F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))
+        return F.when(F.length(t) >= n, several).when(F.length(t) > 0, F.array(t)).otherwise(none)
+
+    # An array of one element binds the text, which else each step would make anew.
+    return F.flatten(F.transform(F.array(bare), grams))
 
 
 def overlap(wanted: Column | str, have: Column | str) -> Column:

@@ -22,12 +22,12 @@ def renumber(units: DataFrame) -> DataFrame:
 
 def proximity(wanted: Column | str, have: Column | str) -> Column:
     """0.7 times the share of wanted tokens that are there, plus 0.3 times their kinds by the width from first to last."""
-    w = F.array_distinct(F.col(wanted) if isinstance(wanted, str) else wanted)
+    w = F.col(wanted) if isinstance(wanted, str) else wanted
     h = F.col(have) if isinstance(have, str) else have
     at = F.filter(F.transform(h, lambda t, i: F.when(F.array_contains(w, t), i)), lambda i: i.isNotNull())
     kinds = F.size(F.array_intersect(w, h))
     width = F.element_at(at, -1) - F.element_at(at, 1) + 1
-    return F.when(F.size(at) > 0, 0.7 * kinds / F.size(w) + 0.3 * kinds / width).otherwise(F.lit(0.0))
+    return F.when(F.size(at) > 0, 0.7 * kinds / F.size(F.array_distinct(w)) + 0.3 * kinds / width).otherwise(F.lit(0.0))
 
 
 def heuristic(units: DataFrame, title_weight: float = 0.35, proximity_weight: float = 0.45) -> DataFrame:

@@ -1,11 +1,647 @@
-"""Every query of the engine by name, with its DuckDB counterpart where SQL can express it."""
+"""Every query of the engine by name, with its DuckDB counterpart where SQL can express it.
+
+All run over whole tables. Questions are the ``benchmark`` passages or the users' turns; vector searches ask with every
+vector whose id is divisible by 20.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import html as H
+from ..functions import segment
+from ..functions import text as X
+from ..functions import vectors as V
+from ..operators import agent, answer, chunk, embed, evidence, index, ledger, metrics, rerank, retrieve, stress, transform
+from . import sql as S
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _joined(c: Column) -> Column:
+    return F.md5(F.array_join(c, " "))
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
+
+
+DOCS = "(SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents)"
+
+# ---- text
+
+
+@_query(f"SELECT doc_id, len(w)::BIGINT AS n, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {S.content('text')} AS w FROM {DOCS})")
+def content_tokens(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.content_tokens("text").alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), _joined(F.col("w")).alias("digest"))
+
+
+@_query(f"SELECT doc_id, len(w)::BIGINT AS n, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {S.tokens('text')} AS w FROM {DOCS})")
+def tokenize(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.tokens("text").alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), _joined(F.col("w")).alias("digest"))
+
+
+#: Latin letters as CJK characters, so that runs of them occur.
+LETTERS, SIGNS = "abcdefghijklm", "检索增强生成文档向量排序分"
+_CJK_SQL = f"SELECT doc_id, len(w)::BIGINT AS n, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, %s AS w FROM (SELECT doc_id, translate(text, '{LETTERS}', '{SIGNS}') AS text FROM {DOCS}))"
+
+
+def _cjk(spark, sf_dir, unigrams):
+    w = _docs(spark, sf_dir).select("doc_id", X.tokens(F.translate("text", LETTERS, SIGNS), unigrams).alias("w"))
+    return w.select("doc_id", F.size("w").cast("long").alias("n"), _joined(F.col("w")).alias("digest"))
+
+
+@_query(_CJK_SQL % S.tokens("text"))
+def cjk_bigrams(spark, sf_dir):
+    return _cjk(spark, sf_dir, False)
+
+
+@_query(_CJK_SQL % S.tokens("text", True))
+def cjk_unigrams_and_bigrams(spark, sf_dir):
+    return _cjk(spark, sf_dir, True)
+
+
+@_query(f"SELECT doc_id, {S.count('text')}::BIGINT AS n_tokens FROM {DOCS}")
+def count_tokens(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.count_tokens("text").cast("long").alias("n_tokens"))
+
+
+_BARE = rf"regexp_replace(lower({S.normal('text')}), '[\s\x{{00a0}}\x{{3000}}]+', '', 'g')"
+
+
+@_query(f"SELECT doc_id, len(g)::BIGINT AS n, md5(array_to_string(g, ' ')) AS digest FROM (SELECT doc_id, CASE WHEN length(t) >= 3 THEN list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)) WHEN t <> '' THEN [t] ELSE [] END AS g FROM (SELECT doc_id, {_BARE} AS t FROM {DOCS}))")
+def char_ngrams(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.char_ngrams("text").alias("g")).select("doc_id", F.size("g").cast("long").alias("n"), _joined(F.col("g")).alias("digest"))
+
+
+@_query(f"SELECT doc_id, sha256(text)[1:16] AS fingerprint FROM {DOCS}")
+def doc_fingerprint(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.fingerprint("text").alias("fingerprint"))
+
+
+@_query(f"SELECT min(doc_id) AS doc_id, count(*) AS copies FROM {DOCS} GROUP BY trim(text)")
+def dedupe_text(spark, sf_dir):
+    return _docs(spark, sf_dir).groupBy(X.text_key("text").alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).drop("k")
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's turn with the assistant's turns of its conversation behind it: conv_id, turn, question, reply_turn, reply."""
+    t = _table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    asked = t.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    said = t.where("role = 'assistant'").select("conv_id", F.col("turn").alias("reply_turn"), F.col("text").alias("reply"))
+    return asked.join(said, "conv_id").where("reply_turn > turn")
+
+
+TURNS = """(SELECT a.conv_id, a.turn, coalesce(a.text, '') AS question, b.turn AS reply_turn, coalesce(b.text, '') AS reply
+    FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn > a.turn WHERE a.role = 'user' AND b.role = 'assistant')"""
+
+
+@_query(f"SELECT conv_id, turn, reply_turn, round({S.overlap('w', 'h')}, 6)::DOUBLE AS overlap, round({S.coverage('w', 'h')}, 6) AS coverage FROM (SELECT *, {S.content('question')} AS w, {S.tokens('reply')} AS h FROM {TURNS})")
+def lexical_overlap(spark, sf_dir):
+    r = _turns(spark, sf_dir).withColumn("w", X.content_tokens("question")).withColumn("h", X.tokens("reply"))
+    return r.select("conv_id", "turn", "reply_turn", F.round(X.overlap("w", "h"), 6).alias("overlap"), F.round(X.coverage("w", "h"), 6).alias("coverage"))
+
+
+@_query()
+def sentence_split(spark, sf_dir):
+    split = F.pandas_udf(lambda s: s.map(lambda t: list(segment.sentences(t))), "array<string>")
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(split("text")).alias("pos", "sentence"))
+
+
+# ---- index and channels
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text", "doc_id", "lang", "source")
+
+
+ASKED, PASSAGES = "SELECT item_id AS query_id, coalesce(text, '') AS text FROM benchmark", f"SELECT doc_id AS chunk_id, text FROM {DOCS}"
+BM25 = S.bm25(ASKED, PASSAGES)
+
+
+@_query(f"WITH {BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ({S.ranked('scores', 10)})")
+def bm25_topk(spark, sf_dir):
+    return index.bm25_search(_asked(spark, sf_dir), _passages(spark, sf_dir), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@_query(f"WITH {BM25}, best AS ({S.ranked('scores', 10)}) SELECT query_id, chunk_id, term, tf, round(part, 6) AS part FROM parts SEMI JOIN best USING (query_id, chunk_id)")
+def bm25_explain(spark, sf_dir):
+    parts = index.bm25_parts(_asked(spark, sf_dir), _passages(spark, sf_dir))
+    best = index.ranked(parts.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score")), 10)
+    return parts.join(best, ["query_id", "chunk_id"], "left_semi").select("query_id", "chunk_id", "term", "tf", F.round("part", 6).alias("part"))
+
+
+@_query(f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def bm25_term_stats(spark, sf_dir):
+    p = _passages(spark, sf_dir)
+    return index.term_stats(index.postings(p), index.corpus_stats(index.doc_stats(p))).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@_query(f"WITH {BM25} SELECT n, round(avgdl, 6) AS avgdl FROM st")
+def bm25_corpus_stats(spark, sf_dir):
+    return index.corpus_stats(index.doc_stats(_passages(spark, sf_dir))).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
+
+
+_PAIRS = """pairs AS (SELECT a.vec_id AS query_id, a.label AS group_id, b.vec_id AS chunk_id, b.label AS other,
+    list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)"""
+
+
+@_query(f"WITH {_PAIRS} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ({S.ranked('pairs', 10)})")
+def dense_topk(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    asked = v.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    return index.dense_search(asked, v, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@_query(f"WITH {_PAIRS}, best AS (SELECT group_id::BIGINT AS query_id, chunk_id, max(score) AS score FROM pairs GROUP BY ALL) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ({S.ranked('best', 10)})")
+def dense_multi_query(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    variants = v.where("chunk_id % 20 = 0").select(F.col("label").cast("long").alias("query_id"), F.col("chunk_id").alias("variant"), "vector")
+    return index.dense_multi(variants, v, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@_query(f"WITH {_PAIRS}, m AS (SELECT group_id, other, query_id, max(score) AS m FROM pairs GROUP BY ALL) SELECT group_id::BIGINT AS query_id, other::BIGINT AS chunk_id, round(avg(m), 6) AS score FROM m GROUP BY ALL")
+def maxsim(spark, sf_dir):
+    v = _vectors(spark, sf_dir).withColumn("label", F.col("label").cast("long"))
+    asked = v.where("chunk_id % 20 = 0").select(F.col("label").alias("query_id"), F.col("chunk_id").alias("pos"), "vector")
+    tokens = v.select(F.col("label").alias("chunk_id"), F.col("chunk_id").alias("pos"), "vector")
+    labels = [tokens.select("chunk_id").distinct(), asked.select("query_id").distinct()]
+    pairs = labels[1].select("query_id", F.lit(1).alias("k")).join(labels[0].select("chunk_id", F.lit(1).alias("k")), "k").drop("k")  # ten labels
+    return index.maxsim(asked, tokens, pairs).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+# ---- fusion, filters, caps, expansion
+
+
+def _hits(spark: SparkSession, sf_dir: str, k: int = 40) -> DataFrame:
+    """Two channels: BM25, and the share of a query's terms that a document has."""
+    parts = index.bm25_parts(_asked(spark, sf_dir), _passages(spark, sf_dir))
+    both = parts.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("bm25"), F.count(F.lit(1)).cast("double").alias("cover"))
+    named = [index.ranked(both.select("query_id", "chunk_id", F.col(c).alias("score")), k).select("query_id", "chunk_id", F.lit(c).alias("channel"), "score") for c in ("bm25", "cover")]
+    return named[0].unionByName(named[1])
+
+
+HITS = f"""{BM25}, covers AS (SELECT query_id, chunk_id, count(*)::DOUBLE AS score FROM parts GROUP BY ALL),
+    hits AS (SELECT query_id, chunk_id, 'bm25' AS channel, score, rank FROM ({S.ranked('scores', 40)})
+             UNION ALL SELECT query_id, chunk_id, 'cover', score, rank FROM ({S.ranked('covers', 40)}))"""
+WEIGHTS = {"bm25": 1.2, "cover": 0.8}
+_W = "CASE channel WHEN 'bm25' THEN 1.2::DOUBLE ELSE 0.8::DOUBLE END"
+RRF = f"fused AS (SELECT query_id, chunk_id, sum({_W} / (60 + rank)) AS score FROM hits GROUP BY ALL)"
+WEIGHTED = f"""scaled AS (SELECT query_id, chunk_id, channel, coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 0) AS s FROM hits WINDOW w AS (PARTITION BY query_id, channel)),
+    fused AS (SELECT query_id, chunk_id, sum({_W} * s) AS score FROM scaled GROUP BY ALL)"""
+
+
+def _fused(spark, sf_dir, fusion="rrf"):
+    return retrieve.fuse(_hits(spark, sf_dir), retrieve.Retrieval(fusion=fusion, weights=WEIGHTS))
+
+
+@_query(f"WITH {HITS}, {RRF} SELECT query_id, chunk_id, round(score, 6) AS score FROM fused")
+def fuse_rrf(spark, sf_dir):
+    return _fused(spark, sf_dir).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@_query(f"WITH {HITS}, {WEIGHTED} SELECT query_id, chunk_id, round(score, 6) AS score FROM fused")
+def fuse_weighted(spark, sf_dir):
+    return _fused(spark, sf_dir, "weighted").select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def _units(spark, sf_dir, **how) -> DataFrame:
+    p = _passages(spark, sf_dir)
+    chunks = p.select("chunk_id", "text", F.col("source").alias("doc_id"), F.lit("").alias("heading"), F.array("lang", "source").alias("heading_path"), F.lit(None).cast("long").alias("parent_id"), F.lit(0).alias("ordinal"), F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))
+    return retrieve.retrieve(_hits(spark, sf_dir), chunks, retrieve.Retrieval(weights=WEIGHTS, **how)).join(_asked(spark, sf_dir).withColumnRenamed("text", "query"), "query_id")
+
+
+_TOP8 = "SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM %s QUALIFY rank <= 8"
+
+
+@_query(f"WITH {HITS}, {RRF} " + _TOP8 % f"fused JOIN {DOCS} d ON d.doc_id = chunk_id WHERE lang = 'en' AND source NOT IN ('src1', 'src2') AND contains(lower(lang || ' ' || source), 'src')")
+def post_filter(spark, sf_dir):
+    u = _units(spark, sf_dir, filters={"exclude_doc_ids": ["src1", "src2"], "heading_contains": "SRC", "metadata": {"lang": "en"}})
+    return u.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@_query(f"WITH {HITS}, {RRF} " + _TOP8 % f"(SELECT f.*, source FROM fused f JOIN {DOCS} d ON d.doc_id = chunk_id QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY round(score, 6) DESC, chunk_id) <= 2)")
+def max_per_document(spark, sf_dir):
+    u = _units(spark, sf_dir, max_per_document=2)
+    return u.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as chunks of their documents, which are their parents."""
+    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "text"))
+    return rows.select(F.concat_ws("#s", "doc_id", "ordinal").alias("chunk_id"), "doc_id", "ordinal", "text", F.lit(None).cast("long").alias("parent_id"))
+
+
+@_query(rf"""WITH lines AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS ordinal, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {DOCS}))
+    SELECT doc_id || '#s' || ordinal AS chunk_id, md5(string_agg(text, chr(10)) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS digest FROM lines""")
+def expand_window(spark, sf_dir):
+    return retrieve.windows(_lines(spark, sf_dir), 1).select("chunk_id", F.md5("window_text").alias("digest"))
+
+
+# ---- measures
+
+
+def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, doc_id): documents that hold a passage; they are met by its rarest term between its first and last."""
+    q, d = _asked(spark, sf_dir), _docs(spark, sf_dir)
+    inner = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(r"(?<=[ \n])[a-zA-Z]+(?=[ \n])"), F.lit(0)), lambda x: x != ""))
+    terms = q.select("query_id", "text", F.explode(inner).alias("term"))
+    held = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0)))).alias("term"))
+    held = held.join(terms.select("term").distinct(), "term", "left_semi")
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rare = terms.join(df, "term").groupBy("query_id", "text").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    pairs = rare.join(held, "term").join(d.select("doc_id", F.col("text").alias("whole")), "doc_id")
+    return pairs.where(F.contains("whole", F.col("text"))).select("query_id", "doc_id")
+
+
+def _ranked_docs(spark, sf_dir):
+    return index.bm25_search(_asked(spark, sf_dir), _passages(spark, sf_dir), 8).withColumn("doc_id", F.col("chunk_id"))
+
+
+_METRICS = f"""{BM25}, top AS (SELECT query_id, chunk_id, rank FROM ({S.ranked('scores', 8)})),
+    gold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN {DOCS} d ON contains(d.text, b.text)),
+    hit AS (SELECT t.query_id, t.rank, g.doc_id IS NOT NULL AS h FROM top t LEFT JOIN gold g ON g.query_id = t.query_id AND g.doc_id = t.chunk_id),
+    by_q AS (SELECT query_id, count(*) FILTER (h) AS found, count(*) FILTER (h AND rank <= 5) AS in_k, min(rank) FILTER (h) AS first, coalesce(sum(1 / log2(rank + 1)) FILTER (h AND rank <= 5), 0) AS dcg FROM hit GROUP BY ALL)"""
+_METRIC_ROW = "query_id, round(in_k::DOUBLE / wanted, 6) AS recall, round(in_k / 5::DOUBLE, 6) AS precision, (in_k > 0)::INT::DOUBLE AS hit, round(coalesce(1::DOUBLE / first, 0), 6) AS mrr, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(wanted, 5) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg"
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
+
+
+@_query(f"WITH {_METRICS} SELECT {_METRIC_ROW} FROM (SELECT *, found AS wanted FROM by_q WHERE found > 0)")
+def metrics_retrieved_gold(spark, sf_dir):
+    return _rounded(metrics.retrieval(_ranked_docs(spark, sf_dir), _gold(spark, sf_dir), 5))
+
+
+@_query(f"WITH {_METRICS} SELECT {_METRIC_ROW} FROM (SELECT w.query_id, wanted, coalesce(in_k, 0) AS in_k, first, dcg FROM (SELECT query_id, count(DISTINCT doc_id) AS wanted FROM gold GROUP BY ALL) w LEFT JOIN by_q USING (query_id))")
+def metrics_true_recall(spark, sf_dir):
+    return _rounded(metrics.retrieval(_ranked_docs(spark, sf_dir), _gold(spark, sf_dir), 5, "true"))
+
+
+# ---- rerankers and grades
+
+
+_BEST10 = f"{BM25}, best AS (SELECT query_id, chunk_id, score, rank FROM ({S.ranked('scores', 10)})), u AS (SELECT b.*, d.text, q.text AS query, d.lang, d.source, {S.content('q.text')} AS w, {S.tokens('d.text')} AS h FROM best b JOIN {DOCS} d ON d.doc_id = b.chunk_id JOIN q USING (query_id))"
+
+
+def _best(spark, sf_dir, k=10):
+    """The best documents of each query as units."""
+    top = index.bm25_search(_asked(spark, sf_dir), _passages(spark, sf_dir), k)
+    u = top.join(_passages(spark, sf_dir), "chunk_id").join(_asked(spark, sf_dir).withColumnRenamed("text", "query"), "query_id")
+    return u.select("query_id", "query", "chunk_id", "doc_id", "text", "score", "rank", F.lit("").alias("window_text"), F.array("lang", "source").alias("heading_path"), F.lit("").alias("heading"), F.lit(None).cast("double").alias("rerank_score"), F.create_map(F.lit("source"), F.col("source")).alias("metadata"), F.create_map(F.lit("bm25"), F.col("score")).alias("channels"))
+
+
+_PROX = """CASE WHEN len(spots) > 0 THEN 0.7::DOUBLE * len(list_intersect(list_distinct(w), h)) / len(list_distinct(w)) + 0.3::DOUBLE * len(list_intersect(list_distinct(w), h)) / (spots[-1] - spots[1] + 1) ELSE 0::DOUBLE END"""
+_AT = "list_filter(range(1, len(h) + 1), lambda i: list_contains(w, h[i])) AS spots"
+
+
+@_query(f"WITH {_BEST10} SELECT query_id, chunk_id, round({_PROX}, 6) AS proximity FROM (SELECT *, {_AT} FROM u)")
+def proximity(spark, sf_dir):
+    u = _best(spark, sf_dir).withColumn("w", X.content_tokens("query")).withColumn("h", X.tokens("text"))
+    return u.select("query_id", "chunk_id", F.round(rerank.proximity("w", "h"), 6).alias("proximity"))
+
+
+@_query(f"""WITH {_BEST10}, r AS (SELECT query_id, chunk_id, (score + {S.overlap('w', 'h')} + 0.35::DOUBLE * {S.overlap('w', 't')} + 0.45::DOUBLE * {_PROX}) * CASE WHEN length(text) BETWEEN 60 AND 2500 THEN 1::DOUBLE ELSE 0.85::DOUBLE END AS s
+    FROM (SELECT *, {_AT}, {S.tokens("lang || ' ' || source")} AS t FROM u))
+    SELECT query_id, chunk_id, round(s, 6) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, chunk_id) AS rank FROM r""")
+def heuristic_rerank(spark, sf_dir):
+    return rerank.heuristic(_best(spark, sf_dir)).select("query_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), F.col("rank").cast("long").alias("rank"))
+
+
+_GRADE = S.coverage("w", "h")
+
+
+@_query(f"WITH {_BEST10} SELECT query_id, chunk_id, round({_GRADE}, 6) AS grade_score, CASE WHEN {_GRADE} >= 0.5 THEN 'relevant' WHEN {_GRADE} >= 0.2 THEN 'ambiguous' ELSE 'irrelevant' END AS label FROM u")
+def coverage_grade(spark, sf_dir):
+    return agent.grade(_best(spark, sf_dir)).select("query_id", "chunk_id", F.round("grade_score", 6).alias("grade_score"), "label")
+
+
+@_query(f"WITH {_BEST10} SELECT query_id, round({S.coverage('w', 'h')}, 6) AS coverage FROM (SELECT query_id, any_value(w) AS w, flatten(list(h)) AS h FROM u GROUP BY query_id)")
+def coverage_ratio(spark, sf_dir):
+    return agent.coverage_ratio(_best(spark, sf_dir)).select("query_id", F.round("coverage", 6).alias("coverage"))
+
+
+@_query(f"SELECT item_id AS query_id, unnest(v) AS text, generate_subscripts(v, 1)::BIGINT - 1 AS variant FROM (SELECT item_id, CASE WHEN w <> '' THEN [text, w] ELSE [text] END AS v FROM (SELECT item_id, coalesce(text, '') AS text, array_to_string({S.content("coalesce(text, '')")}, ' ') AS w FROM benchmark))")
+def keyword_variants(spark, sf_dir):
+    return transform.variants(_asked(spark, sf_dir), "multi-query").select("query_id", "text", F.col("variant").cast("long").alias("variant"))
+
+
+# ---- evidence
+
+
+def _questions(spark, sf_dir):
+    t = _table(spark, sf_dir, "conversations").where("role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL")
+    return t.select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _replies(spark, sf_dir):
+    r = _turns(spark, sf_dir)
+    return r.select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.concat_ws(":", "conv_id", "reply_turn").alias("chunk_id"), F.col("reply").alias("text"), F.lit("").alias("window_text"))
+
+
+_SPEC = f"SELECT conv_id || ':' || turn AS query_id, {S.answer_type('text')} AS answer_type, {S.distinct8(S.entities('text'))} AS entities, {S.content('text')} AS key_terms FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user')"
+
+
+@_query(f"SELECT query_id, answer_type, array_to_string(entities, '|') AS entities, md5(array_to_string(key_terms, ' ')) AS key_terms FROM ({_SPEC})")
+def evidence_query_spec(spark, sf_dir):
+    s = evidence.query_spec(_questions(spark, sf_dir))
+    return s.select("query_id", "answer_type", F.array_join("entities", "|").alias("entities"), _joined(F.col("key_terms")).alias("key_terms"))
+
+
+_SUPPORT = f"""spec AS ({_SPEC}), s AS (SELECT t.conv_id || ':' || t.turn AS query_id, t.conv_id || ':' || t.reply_turn AS chunk_id, reply, spec.*,
+        list_filter(entities, lambda e: contains(lower(reply), lower(e))) AS found, {S.slot('reply', 'answer_type')} AS slot, {S.coverage('key_terms', S.tokens('reply'))} AS lexical
+        FROM {TURNS} t JOIN spec ON spec.query_id = t.conv_id || ':' || t.turn),
+    r AS (SELECT *, CASE WHEN len(entities) > 0 THEN len(found)::DOUBLE / len(entities) ELSE 1 END AS ec FROM s),
+    g AS (SELECT *, 0.35::DOUBLE * ec + 0.2::DOUBLE + 0.3::DOUBLE * slot::INT + 0.15::DOUBLE * lexical AS support, (ec >= 0.5 OR lexical >= 0.25) AND slot AS supporting FROM r)"""
+
+
+@_query(f"WITH {_SUPPORT} SELECT query_id, chunk_id, round(ec, 6)::DOUBLE AS entity_coverage, slot, round(support, 6) AS support, supporting FROM g")
+def evidence_support(spark, sf_dir):
+    u = _replies(spark, sf_dir).join(evidence.query_spec(_questions(spark, sf_dir)).drop("text"), "query_id")
+    return evidence.support(u).select("query_id", "chunk_id", F.round("entity_coverage", 6).alias("entity_coverage"), "slot", F.round("support", 6).alias("support"), "supporting")
+
+
+@_query(f"""WITH {_SUPPORT}, b AS (SELECT query_id, max(support) AS support, count(*) FILTER (supporting) AS n, list_distinct(flatten(list(found))) AS found FROM g GROUP BY ALL)
+    SELECT spec.query_id, coalesce(b.support >= 0.5 AND n > 0, false) AS answerable, coalesce(n, 0) AS supporting_units, coalesce(array_to_string(list_filter(entities, lambda e: NOT list_contains(b.found, e)), '|'), '') AS missing FROM spec LEFT JOIN b USING (query_id)""")
+def evidence_report(spark, sf_dir):
+    r = evidence.report(evidence.query_spec(_questions(spark, sf_dir)), _replies(spark, sf_dir))
+    return r.select("query_id", "answerable", "supporting_units", F.array_join("missing_entities", "|").alias("missing"))
+
+
+@_query()
+def evidence_gap_terms(spark, sf_dir):
+    spec, units = evidence.query_spec(_questions(spark, sf_dir)), _replies(spark, sf_dir)
+    return evidence.gap_terms(evidence.report(spec, units), units)
+
+
+_KINDS = [n for n, _ in evidence.CUES]
+
+
+@_query(f"SELECT doc_id, {', '.join(f'({S.slot(chr(116) + chr(101) + chr(120) + chr(116), repr(k))}) AS has_{k}' for k in _KINDS)} FROM {DOCS}")
+def slot_markers(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", *[evidence.has_slot("text", F.lit(k)).alias(f"has_{k}") for k in _KINDS])
+
+
+# ---- answers
+
+
+@_query(f"""SELECT conv_id || ':' || reply_turn AS answer_id, round(avg((best >= 0.34)::INT), 6) AS groundedness FROM (
+    SELECT conv_id, reply_turn, p, max(len(list_intersect(list_distinct(list_filter(w, lambda x: length(x) > 1)), s))::DOUBLE / greatest(len(list_distinct(list_filter(w, lambda x: length(x) > 1))), 1)) AS best
+    FROM (SELECT t.conv_id, t.reply_turn, p, {S.tokens('claim')} AS w, {S.tokens('question')} AS s FROM (SELECT *, generate_subscripts(l, 1) AS p, unnest(l) AS claim FROM (SELECT *, string_split(reply, chr(10)) AS l FROM {TURNS})) t) WHERE len(w) >= 4 GROUP BY ALL) GROUP BY ALL""")
+def groundedness(spark, sf_dir):
+    r = _turns(spark, sf_dir).withColumn("answer_id", F.concat_ws(":", "conv_id", "reply_turn"))
+    claims = r.select("answer_id", "reply").distinct().select("answer_id", F.posexplode(F.split("reply", "\n")).alias("claim_id", "text"))
+    return answer.claim_support(claims, r.select("answer_id", F.col("question").alias("text"))).select("answer_id", F.round("groundedness", 6).alias("groundedness"))
+
+
+_CITED = "array_to_string(list_transform(range(0, length(text), 100), lambda i: substr(text, i + 1, 100) || ' [' || (i // 100 % 9) || ']'), ' ')"
+
+
+@_query(rf"SELECT doc_id, round(len(list_distinct(list_filter(list_transform(regexp_extract_all({_CITED}, '\[(\p{{Nd}}+)\]', 1), lambda x: x::INT), lambda x: x BETWEEN 1 AND 5)))::DOUBLE / 5, 6) AS coverage FROM (SELECT doc_id, regexp_replace(text, '[\[\]]', '', 'g') AS text FROM {DOCS})")
+def citation_coverage(spark, sf_dir):
+    bare = _docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"[\[\]]", "").alias("text"))
+    cited = F.when(F.length("text") > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.length("text") - 1, F.lit(100)), lambda i: F.concat(F.substring(F.col("text"), i + 1, F.lit(100)), F.lit(" ["), (F.floor(i / 100) % 9).cast("string"), F.lit("]"))), " ")).otherwise("")
+    return bare.withColumn("cited", cited).select("doc_id", F.round(answer.citation_coverage("cited", F.lit(5)), 6).alias("coverage"))
+
+
+@_query()
+def assemble_context(spark, sf_dir):
+    return answer.assemble(_best(spark, sf_dir))
+
+
+@_query()
+def extractive_answer(spark, sf_dir):
+    return answer.answer(_best(spark, sf_dir, 8))
+
+
+@_query()
+def generation_metrics(spark, sf_dir):
+    return metrics.generation(answer.answer(_best(spark, sf_dir, 8)))
+
+
+@_query()
+def agentic_run(spark, sf_dir):
+    _checkpoints(spark)
+    passages = _passages(spark, sf_dir).select("chunk_id", "doc_id", "text", F.array("lang", "source").alias("heading_path"), F.create_map(F.lit("source"), F.col("source")).alias("metadata"))
+
+    def units(q: DataFrame) -> DataFrame:
+        top = index.bm25_search(q, passages, 8).join(passages, "chunk_id").join(q.withColumnRenamed("text", "query"), "query_id")
+        return top.withColumns({"window_text": F.lit(""), "heading": F.lit(""), "rerank_score": F.lit(None).cast("double"), "channels": F.create_map(F.lit("bm25"), F.col("score"))})
+
+    return agent.run(_asked(spark, sf_dir), units)
+
+
+def _checkpoints(spark: SparkSession) -> None:
+    """The cluster's folder; only a session within one process may go without and gets a temporary one."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        folder = f"file://{tempfile.mkdtemp(prefix='tesserae-')}"
+    spark.sparkContext.setCheckpointDir(folder)
+
+
+# ---- chunks and embeddings
+
+
+def _markdown(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    text = F.concat(F.lit("# "), "source", F.lit("\n\n"), "text", F.lit("\n\n## "), "lang", F.lit("\n\n"), F.substring("text", 1, 200))
+    return d.select("doc_id", text.alias("text"), F.col("source").alias("title"))
+
+
+def _chunked(strategy):
+    def run(spark, sf_dir):
+        rows = chunk.chunk(_markdown(spark, sf_dir), chunk.Chunking(strategy=strategy))
+        return rows.select("chunk_id", "doc_id", "text", "ordinal", F.array_join("heading_path", " > ").alias("header"), "start", "end", "parent_id")
+
+    run.__name__ = f"chunk_{strategy}"
+    return run
+
+
+for _strategy in ("structural", "hierarchical", "semantic"):
+    _query()(_chunked(_strategy))
+
+
+@_query()
+def sections(spark, sf_dir):
+    cut = F.pandas_udf(lambda s: s.map(lambda t: [(" > ".join(p), a, z, body) for p, a, z, body in segment.sections(t)]), "array<struct<header:string,start:int,end:int,body:string>>")
+    return _markdown(spark, sf_dir).select("doc_id", F.posexplode(cut("text")).alias("pos", "s")).select("doc_id", "pos", "s.header", "s.start", "s.end", "s.body")
+
+
+@_query()
+def hashed_embed(spark, sf_dir):
+    return embed.embed(_passages(spark, sf_dir))
+
+
+@_query()
+def hashed_token_vectors(spark, sf_dir):
+    return embed.embed_tokens(_asked(spark, sf_dir), 128, "query_id")
+
+
+@_query()
+def lsa(spark, sf_dir):
+    _checkpoints(spark)
+    p = _passages(spark, sf_dir)
+    return embed.LSA(8, passes=1).fit(p).embed(p)
+
+
+_STORED = "replace(text, 'e', 'é')"
+
+
+@_query(f"SELECT doc_id FROM (SELECT doc_id, sha256(text) AS a, sha256(CASE WHEN lang = 'fr' THEN {_STORED} ELSE text END) AS b FROM {DOCS}) WHERE a <> b")
+def incremental_skip(spark, sf_dir):
+    """Documents whose stored fingerprint differs; those in French are stored with other letters."""
+    d = _docs(spark, sf_dir)
+    stored = d.select("doc_id", X.fingerprint(F.when(F.col("lang") == "fr", F.replace("text", F.lit("e"), F.lit("é"))).otherwise(F.col("text"))).alias("fingerprint"))
+    return d.select("doc_id", X.fingerprint("text").alias("fingerprint")).join(stored, ["doc_id", "fingerprint"], "left_anti").select("doc_id")
+
+
+@_query(f"SELECT count(DISTINCT text) AS missing FROM {DOCS} WHERE text NOT IN (SELECT text FROM {DOCS} WHERE lang = 'en')")
+def embedding_cache_misses(spark, sf_dir):
+    d = _docs(spark, sf_dir).select(embed.cache_key("hashed", 512).alias("key"), "lang")
+    return d.join(d.where("lang = 'en'").select("key"), "key", "left_anti").agg(F.count_distinct("key").alias("missing"))
+
+
+@_query("SELECT vec_id AS chunk_id, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS length, round(v[1], 6) AS first FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / nullif(sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 0)) AS v FROM embeddings)")
+def l2_normalize(spark, sf_dir):
+    v = _vectors(spark, sf_dir).select("chunk_id", V.l2_normalize("vector").alias("v"))
+    return v.select("chunk_id", F.round(V.dot("v", "v"), 6).alias("length"), F.round(F.col("v")[0], 6).alias("first"))
+
+
+# ---- web pages
+
+
+def _pages(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+
+
+PAGES = "(SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages)"
+_REGIONS = "list_concat(regexp_extract_all(html, '(?is)<article[^>]*>(.*?)</article>', 1), regexp_extract_all(html, '(?is)<main[^>]*>(.*?)</main>', 1))"
+_REGION = f"CASE WHEN len({_REGIONS}) > 0 THEN list_filter({_REGIONS}, lambda b: length(b) = list_max(list_transform({_REGIONS}, lambda x: length(x))))[1] ELSE html END"
+
+
+@_query(f"SELECT page_id, md5({_REGION}) AS digest, length({_REGION})::BIGINT AS n FROM {PAGES}")
+def main_region(spark, sf_dir):
+    return _pages(spark, sf_dir).withColumn("r", H.main_region("html")).select("page_id", F.md5("r").alias("digest"), F.length("r").cast("long").alias("n"))
+
+
+@_query(f"SELECT page_id, regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) AS title, 'web:' || sha256(url)[1:12] AS doc_id FROM {PAGES}")
+def page_title(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", H.raw_title("html").alias("title"), H.web_id("url").alias("doc_id"))
+
+
+@_query(f"SELECT page_id, {S.plain_text('html')} AS text FROM {PAGES}")
+def html_to_text(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", H.html_to_text("html").alias("text"))
+
+
+@_query()
+def fetched_documents(spark, sf_dir):
+    return H.fetched(_pages(spark, sf_dir))
+
+
+@_query("SELECT item_id AS query_id, CASE WHEN contains(text, ':') OR regexp_matches(upper(text), ' (AND|OR) ') THEN text ELSE 'ti:\"' || text || '\" OR abs:\"' || text || '\"' END AS query FROM (SELECT item_id, coalesce(text, '') AS text FROM benchmark)")
+def arxiv_query(spark, sf_dir):
+    return _asked(spark, sf_dir).select("query_id", H.arxiv_query("text").alias("query"))
+
+
+# ---- degraded corpora
+
+_MARK = chr(1)
+_PIECES = f"list_filter(string_split(regexp_replace(text, '([。！？；!?;\n])', '\\1{_MARK}', 'g'), '{_MARK}'), lambda s: trim(s, ' ' || chr(10) || chr(9) || chr(13)) <> '')"
+
+
+@_query(f"SELECT doc_id, md5(CASE WHEN len(p) <= 1 THEN substr(text, 1, greatest(1, floor(length(text) * 0.6::DOUBLE)::INT)) ELSE array_to_string(p[1:greatest(1, round_even(len(p) * 0.6::DOUBLE, 0)::INT)], '') END) AS digest FROM (SELECT doc_id, text, {_PIECES} AS p FROM {DOCS})")
+def stress_truncate(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(stress.truncate("text", 2)).alias("digest"))
+
+
+@_query()
+def stress_conflict(spark, sf_dir):
+    return stress.conflicts(_docs(spark, sf_dir).select("doc_id", "text"), 3)
+
+
+@_query("SELECT 'stress/noise-' || i AS doc_id, array_to_string([(['" + "', '".join(stress.NOISE) + "'])[(3 * i + k) % 6 + 1] for k in range(3)], chr(10) || chr(10)) AS text FROM range(4) r(i)")
+def stress_noise(spark, sf_dir):
+    return stress.noise(_docs(spark, sf_dir), 4)
+
+
+@_query()
+def stress_corrupt(spark, sf_dir):
+    return stress.corrupt(_docs(spark, sf_dir), level=2)
+
+
+@_query()
+def stress_curve(spark, sf_dir):
+    """Metrics of BM25 on corpora degraded more and more."""
+    asked, gold = _asked(spark, sf_dir), _gold(spark, sf_dir).select("query_id", F.col("doc_id").cast("string").alias("doc_id"))
+
+    def measure(corpus: DataFrame) -> DataFrame:
+        top = index.bm25_search(asked, corpus.select(F.col("doc_id").alias("chunk_id"), "text"), 8).withColumn("doc_id", F.col("chunk_id"))
+        return metrics.mean(metrics.retrieval(top, gold, 5, "true")).drop("queries")
+
+    return stress.curve(_docs(spark, sf_dir), measure)
+
+
+# ---- ledger: each user's events as what answers cost
+
+_COST = "count(*) FILTER (event_type = 'click') AS llm_calls, sum(CASE WHEN event_type = 'view' THEN 100 ELSE 0 END)::BIGINT AS prompt_tokens, sum(CASE WHEN event_type = 'purchase' THEN 50 ELSE 0 END)::BIGINT AS completion_tokens, count(*) FILTER (event_type = 'signup') AS graded_candidates"
+
+
+def _usage(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    of = lambda kind, n: F.when(F.col("event_type") == kind, n).otherwise(0)
+    cost = {"llm_calls": of("click", 1), "prompt_tokens": of("view", 100), "completion_tokens": of("purchase", 50), "graded_candidates": of("signup", 1)}
+    return ledger.totals(e.select(F.col("user_id").alias("query_id"), *[cost.get(c, F.lit(0)).alias(c) for c in ledger.COUNTERS]))
+
+
+@_query(f"SELECT *, prompt_tokens + completion_tokens AS total_tokens FROM (SELECT user_id AS query_id, {_COST} FROM events GROUP BY ALL)")
+def usage_ledger(spark, sf_dir):
+    return _usage(spark, sf_dir).select("query_id", "llm_calls", "prompt_tokens", "completion_tokens", "graded_candidates", "total_tokens")
+
+
+@_query(f"SELECT query_id, CASE WHEN llm_calls >= 20 THEN 'llm_calls>=20' WHEN prompt_tokens + completion_tokens >= 2000 THEN 'tokens>=2000' WHEN graded_candidates >= 24 THEN 'graded_candidates>=24' ELSE '' END AS stop FROM (SELECT user_id AS query_id, {_COST} FROM events GROUP BY ALL)")
+def budget_exceeded(spark, sf_dir):
+    return _usage(spark, sf_dir).select("query_id", ledger.exceeded(20, 2000).alias("stop"))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
