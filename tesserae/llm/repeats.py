@@ -7,7 +7,8 @@
 3. What remains are different blocks with one anchor, at the edges of passages and around edits. Their bytes meet by
    anchor and are sorted by a suffix array in two stages: the suffixes smaller than their successors directly, the
    others by scans of buckets. Neighbours whose common prefix has 200 bytes are repeats. An anchor with
-   too many different blocks for one task goes by digests of its windows instead, counted by key.
+   too many different blocks for one task is dealt to several; what repeats within a task is found there, and digests
+   of the other windows, and of one of each that repeats, are counted by key.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts, written
+from .common import remove, small_batches, texts, written
 
 LENGTH, GRAM = 200, 64
 #: Bytes whose blocks are found at once, and bytes of a suffix array.
 CHUNK, ARRAY = 2_000_000, 1_500_000
-#: An anchor with more different blocks goes by digests.
+#: An anchor with more different blocks is dealt to groups of so many or so.
 CROWD = 2048
 NO_ID = -(2**63)
 _RANDOM = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
@@ -231,36 +232,54 @@ def _spans(doc: list[int], tag: list[int], at: list[int], hits: list[np.ndarray]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "tag", "lo", "hi"])
 
 
-def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of their anchor: suffix arrays of ARRAY bytes or more, cut between anchors."""
+def _groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[dict]]:
+    """Rows in order of their group, in lists of whole groups that hold ``least`` bytes or more, if there are as many."""
     held: list[dict] = []
     size = 0
-
-    def flush() -> pa.RecordBatch:
-        hits = repeated_windows([r["bytes"] for r in held], [r["more"] + 1 for r in held])
-        one = [(r, h) for r, h in zip(held, hits, strict=True) if r["n"] == 1]
-        return _spans([r["doc"] for r, _ in one], [r["tag"] for r, _ in one], [r["first"] for r, _ in one], [h for _, h in one])
-
     for b in batches:
         for r in b.to_pylist():
-            if size >= ARRAY and r["anchor"] != held[-1]["anchor"]:
-                yield flush()
+            if held and size >= least and (r["anchor"], r["share"]) != (held[-1]["anchor"], held[-1]["share"]):
+                yield held
                 held, size = [], 0
             held.append(r)
             size += len(r["bytes"]) + 1
     if held:
-        yield flush()
+        yield held
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for r in b.to_pylist():
+def _found_in(rows: list[dict], hits: list[np.ndarray]) -> pa.RecordBatch:
+    one = [(r, h) for r, h in zip(rows, hits, strict=True) if r["n"] == 1]
+    return _spans([r["doc"] for r, _ in one], [r["tag"] for r, _ in one], [r["first"] for r, _ in one], [h for _, h in one])
+
+
+def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffix arrays of ARRAY bytes or more, cut between anchors."""
+    for rows in _groups(batches, ARRAY):
+        yield _found_in(rows, repeated_windows([r["bytes"] for r in rows], [r["more"] + 1 for r in rows]))
+
+
+def _shared_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One group at a time: its spans, and (w1, w2, times) of windows; doc, tag and lo where nobody has found it yet."""
+    names = ["doc", "tag", "lo", "hi", "w1", "w2", "times"]
+    for rows in _groups(batches, 0):
+        hits = repeated_windows([r["bytes"] for r in rows], [r["more"] + 1 for r in rows])
+        spans = _found_in(rows, hits)
+        none = pa.nulls(len(spans), pa.int64())
+        yield pa.RecordBatch.from_arrays([*spans.columns, none, none, none], names)
+        open_, shown = [], set()
+        for r, h in zip(rows, hits, strict=True):
+            twice = set(h.tolist())
             for k in range(r["more"] + 1):
                 d = xxhash.xxh3_128_digest(r["bytes"][k : k + LENGTH])
-                rows.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), r["doc"], r["tag"], r["first"] + k, r["n"]))
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["w1", "w2", "doc", "tag", "lo", "n"])
+                if r["n"] > 1 or k in twice:
+                    if d not in shown:
+                        open_.append((None, None, None, d, 2))
+                    shown.add(d)
+                else:
+                    open_.append((r["doc"], r["tag"], r["first"] + k, d, 1))
+        digest = np.frombuffer(b"".join(x[3] for x in open_), ">i8").astype(np.int64).reshape(-1, 2)
+        doc, tag, lo, times = (pa.array([x[k] for x in open_], pa.int64()) for k in (0, 1, 2, 4))
+        yield pa.RecordBatch.from_arrays([doc, tag, lo, pa.nulls(len(open_), pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), times], names)
 
 
 def _released(spark: SparkSession) -> None:
@@ -282,19 +301,27 @@ def spans(docs: DataFrame) -> DataFrame:
     each = written(found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.first("doc").alias("doc"), F.first("p").alias("p")))
     place = [F.shiftright("p", 48).alias("tag"), F.shiftright("p", 8).bitwiseAND(2**40 - 1).alias("first"), F.col("p").bitwiseAND(255).alias("more")]
     equal = found.join(each.where("n > 1").select(*key), key).select("doc", *place)
-    whole = equal.select("doc", "tag", F.col("first").alias("lo"), (F.col("first") + F.col("more") + LENGTH).alias("hi"))
+    whole = written(equal.select("doc", "tag", F.col("first").alias("lo"), (F.col("first") + F.col("more") + LENGTH).alias("hi")))
+    remove(found)
 
     crowd = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
     open_ = written(each.join(crowd, "anchor").select("anchor", "crowd", "n", "doc", *place))
+    remove(each)
+    _released(spark)
     bytes_ = F.substring(F.col("text").cast("binary"), (F.col("first") + 1).cast("int"), (F.col("more") + LENGTH).cast("int"))
-    with_text = open_.join(docs, ["doc", "tag"]).dropDuplicates(["doc", "tag", "first", "anchor"]).select("anchor", "crowd", "n", "doc", "tag", "first", "more", bytes_.alias("bytes"))
-    few = with_text.where(F.col("crowd") <= CROWD).drop("crowd").repartition("anchor").sortWithinPartitions("anchor", "doc", "tag", "first")
+    share = F.pmod(F.xxhash64("doc", "tag", "first"), F.ceil(F.col("crowd") / CROWD)).alias("share")
+    group = ["anchor", "share"]
+    with_text = open_.join(docs, ["doc", "tag"]).dropDuplicates(["doc", "tag", "first", "anchor"]).select("anchor", share, "crowd", "n", "doc", "tag", "first", "more", bytes_.alias("bytes"))
+    near = lambda rows: rows.drop("crowd").repartition(*group).sortWithinPartitions(*group, "doc", "tag", "first")
+    few = near(with_text.where(F.col("crowd") <= CROWD))
     result = whole.unionByName(few.mapInArrow(_sorted_out, "doc long, tag long, lo long, hi long"))
     if open_.where(F.col("crowd") > CROWD).limit(1).count():
-        windows = with_text.where(F.col("crowd") > CROWD).drop("crowd").mapInArrow(_digests, "w1 long, w2 long, doc long, tag long, lo long, n long")
-        windows = written(windows)
-        twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("w1", "w2")
-        result = result.unionByName(windows.where("n = 1").join(twice, ["w1", "w2"]).select("doc", "tag", "lo", (F.col("lo") + LENGTH).alias("hi")))
+        many = near(with_text.where(F.col("crowd") > CROWD))
+        many = written(many.mapInArrow(_shared_out, "doc long, tag long, lo long, hi long, w1 long, w2 long, times long"))
+        result = result.unionByName(many.where("w1 IS NULL").select("doc", "tag", "lo", "hi"))
+        windows = many.where("w1 IS NOT NULL")
+        twice = windows.groupBy("w1", "w2").agg(F.sum("times").alias("times")).where("times > 1").select("w1", "w2")
+        result = result.unionByName(windows.where("times = 1").select("w1", "w2", "doc", "tag", "lo").join(twice, ["w1", "w2"]).select("doc", "tag", "lo", (F.col("lo") + LENGTH).alias("hi")))
     return result
 
 
@@ -337,6 +364,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Rows of one doc_id and different texts are told apart by 15 bits of the text's hash.
     """
     t = texts(docs).select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.pmod(F.xxhash64("text"), F.lit(2**15)).alias("tag"), "text")
-    cut = spans(t.select("doc", "tag", "text")).groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("cut"))
+    cut = written(spans(t.select("doc", "tag", "text")).groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("cut")))
+    _released(docs.sparkSession)  # the texts that went by anchor, before they go by document
     both = t.join(cut, ["doc", "tag"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), "cut")
     return both.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<lo:long,hi:long>>")
