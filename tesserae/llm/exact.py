@@ -21,12 +21,13 @@ def exact_groups(digest: DataFrame) -> DataFrame:
 
     Each step compares only what the step before left: rows of a length that occurs once never meet a prefix
     hash, rows of a prefix that occurs once never a full hash. All three are sums by key that are combined
-    before the shuffle, so the size of a group doesn't matter.
+    before the shuffle, so the size of a group doesn't matter. They are written down, so that a join behind them deals out
+    both sides itself and Spark can split the part of a length or text that many rows share.
     """
     lengths = digest.groupBy("n_bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("n_bytes")
-    left = digest.join(lengths, "n_bytes", "left_semi")
+    left = digest.join(written(lengths), "n_bytes", "left_semi")
     heads = left.groupBy("n_bytes", "head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("n_bytes", "head")
-    left = left.join(heads, ["n_bytes", "head"], "left_semi")
+    left = left.join(written(heads), ["n_bytes", "head"], "left_semi")
     return left.groupBy("n_bytes", "head", "sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
 
 
@@ -41,7 +42,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     The text is read once; its digests are written down and the rest works on some 60 bytes a row.
     """
     digest = written(digests(docs))
-    groups = exact_groups(digest)
+    groups = written(exact_groups(digest))
     keys = ["n_bytes", "head", "sha"]
     return digest.join(groups, keys, "left").select(
         "doc_id",

@@ -145,7 +145,8 @@ def _rare(values: DataFrame, listed: Column, needed: Column) -> DataFrame:
     Values that one class alone has come first and make no list; then the rest by how many classes have them.
     common is the mean of that number over the class's values.
     """
-    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    # Written down, so that the join deals out both sides itself and a common value's part can be split.
+    counts = written(values.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1"))
     mine = Window.partitionBy("id")
     single = listed - F.count(F.lit(1)).over(mine)
     place = single + F.row_number().over(mine.orderBy("f", "v"))

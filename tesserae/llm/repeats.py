@@ -294,7 +294,9 @@ def spans(docs: DataFrame) -> DataFrame:
     small_batches(spark, 500)
     found = docs.select("doc", "tag", F.col("text").cast("binary").alias("text")).where(F.octet_length("text") >= LENGTH).mapInArrow(_block_rows, "anchor long, block long, doc long, p long")
     again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    again = written(again)  # so that the join deals out both sides itself, and a common anchor's part can be split
     found = written(found.join(again, "anchor", "left_semi"))
+    remove(again)
     _released(spark)
 
     key = ["anchor", "block"]
