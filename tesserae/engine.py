@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .config import Settings
 from .operators import agent, answer, chunk, embed, index, metrics, rerank, retrieve, stress, transform
+from .session import with_checkpoints
 from .sources import chat
 from .sources.files import load_documents
 from .sources.store import Store
@@ -16,6 +17,7 @@ from .sources.store import Store
 
 class Engine:
     def __init__(self, spark: SparkSession, settings: Settings | None = None, complete: Callable[[str], str] | None = None):
+        with_checkpoints(spark)
         self.spark, self.cfg = spark, settings or Settings()
         self.store = Store(spark, self.cfg.store)
         self.complete = complete or chat.build(self.cfg.llm, self.cfg.llm_base_url, self.cfg.llm_model, self.cfg.llm_wire_api)

@@ -17,6 +17,7 @@ from ..functions import segment
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import agent, answer, chunk, embed, evidence, index, ledger, metrics, rerank, retrieve, stress, transform
+from ..session import with_checkpoints
 from . import sql as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -324,10 +325,10 @@ _PROX = """CASE WHEN len(spots) > 0 THEN 0.7::DOUBLE * len(list_intersect(list_d
 _AT = "list_filter(range(1, len(h) + 1), lambda i: list_contains(w, h[i])) AS spots"
 
 
-@_query(f"WITH {_BEST10} SELECT query_id, chunk_id, round({_PROX}, 6) AS proximity FROM (SELECT *, {_AT} FROM u)")
+@_query(f"WITH {_BEST10} SELECT query_id, chunk_id, round({_PROX}, 9) AS proximity FROM (SELECT *, {_AT} FROM u)")
 def proximity(spark, sf_dir):
     u = _best(spark, sf_dir).withColumn("w", X.content_tokens("query")).withColumn("h", X.tokens("text"))
-    return u.select("query_id", "chunk_id", F.round(rerank.proximity("w", "h"), 6).alias("proximity"))
+    return u.select("query_id", "chunk_id", F.round(rerank.proximity("w", "h"), 9).alias("proximity"))
 
 
 @_query(f"""WITH {_BEST10}, r AS (SELECT query_id, chunk_id, (score + {S.overlap('w', 'h')} + 0.35::DOUBLE * {S.overlap('w', 't')} + 0.45::DOUBLE * {_PROX}) * CASE WHEN length(text) BETWEEN 60 AND 2500 THEN 1::DOUBLE ELSE 0.85::DOUBLE END AS s
@@ -450,7 +451,7 @@ def generation_metrics(spark, sf_dir):
 
 @_query()
 def agentic_run(spark, sf_dir):
-    _checkpoints(spark)
+    with_checkpoints(spark)
     passages = _passages(spark, sf_dir).select("chunk_id", "doc_id", "text", F.array("lang", "source").alias("heading_path"), F.create_map(F.lit("source"), F.col("source")).alias("metadata"))
 
     def units(q: DataFrame) -> DataFrame:
@@ -460,20 +461,6 @@ def agentic_run(spark, sf_dir):
     return agent.run(_asked(spark, sf_dir), units)
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    """The cluster's folder; only a session within one process may go without and gets a temporary one."""
-    if spark.sparkContext.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        folder = f"file://{tempfile.mkdtemp(prefix='tesserae-')}"
-    spark.sparkContext.setCheckpointDir(folder)
-
-
 # ---- chunks and embeddings
 
 
@@ -514,7 +501,7 @@ def hashed_token_vectors(spark, sf_dir):
 
 @_query()
 def lsa(spark, sf_dir):
-    _checkpoints(spark)
+    with_checkpoints(spark)
     p = _passages(spark, sf_dir)
     return embed.LSA(8, passes=1).fit(p).embed(p)
 
