@@ -235,3 +235,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_near(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group of near duplicates, with all their columns."""
     return selected(docs, written(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()), keep=False)
+
+
+SQL = """
+WITH RECURSIVE t AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+    SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM t
+), x AS (SELECT doc_id, len(g) AS n, unnest(g) AS v FROM s),
+pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.v = b.v AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON r.other = e.a)
+SELECT s.doc_id, len(any_value(g))::BIGINT AS n_shingles, min(other) AS component_id, s.doc_id = min(other) AS kept
+FROM s JOIN reach USING (doc_id) GROUP BY s.doc_id
+"""

@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact.SQL}
+    return {"op4_near_dedup": near.SQL, "op8_exact_dedup": exact.SQL}
