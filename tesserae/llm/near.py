@@ -1,12 +1,12 @@
 """Near duplicates: bottom-k sketches from one hash function, inverted lists, union-sketch estimates, exact Jaccard.
 
 Texts of equal shingle sets form a class, and classes are compared, not copies. Two classes with a similarity of
-0.85 share most of their smallest hashes. Inverted lists of those values propose pairs. Each class enters only
-the lists of its rarest values: so many that two classes which share ``SHARED`` of their values still meet. So the
+0.85, or whatever links, share most of their smallest hashes. Inverted lists of those values propose pairs. Each class enters only
+the lists of its rarest values: so many that two classes which share ``least_shared`` of their values still meet. So the
 lists of a passage that a third of all texts hold stay all but empty, without a cap on any of them. Each list first
 links its members to the one of the commonest values, the likely original of a family of edits. What is then still in
 different components is compared: pair by pair in short lists, and for long ones by new lists of full sets, whose
-rarest 15 % are exactly enough. There, counts of shingles by SHAPE ranges of their hashes tell pairs that differ too
+rarest 15 % (at 0.85) are exactly enough. There, counts of shingles by SHAPE ranges of their hashes tell pairs that differ too
 much, without an error: two sets differ in as many shingles at least as their counts differ.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from math import comb, floor, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,10 @@ from pyspark.sql.window import Window
 from .common import selected, small_batches, texts, written
 
 WORDS = 5
-#: A link: 100 * intersection >= LINK * union.
-LINK = 85
+#: A link: 100 * intersection >= link * union. LINK is op4's; a stage without a contract of its own takes STAGE_LINK.
+LINK, STAGE_LINK = 85, 80
 #: Values of a sketch.
 K = 64
-#: Sets of more than K shingles that link share at least 34 of their K values, but for 1 pair in 10**9 of those at the threshold.
-SHARED = 34
-#: Pairs whose estimate is lower than this go: 5 standard deviations of an estimate from 64 values below 0.85.
-ESTIMATE = 0.62
 #: Longer lists that hold several components go by full sets.
 SHORT = 32
 #: Ranges of hashes whose shingles are counted; a power of two.
@@ -40,6 +37,22 @@ SHAPE = 128
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
+def least_shared(link: int) -> int:
+    """Sets of more than K shingles that link share so many of their K values at least, but for 1 pair in 10**9 of those at the threshold."""
+    p, below = link / 100, 0.0
+    for s in range(K + 1):
+        below += comb(K, s) * p**s * (1 - p) ** (K - s)
+        if below > 1e-9:
+            return s
+    return K
+
+
+def least_estimate(link: int) -> float:
+    """Pairs whose estimate is lower than this go: 5 standard deviations of an estimate from K values below the threshold."""
+    p = link / 100
+    return floor(100 * (p - 5 * sqrt(p * (1 - p) / K))) / 100
+
+
 class _Hashes(dict):
     """Hashes of words; forgets all once it holds 200,000."""
 
@@ -118,7 +131,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, link: int) -> DataFrame:
     """The pairs (a, b) that link: by the estimate, then on full sets."""
     side = lambda s: reps.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
@@ -127,7 +140,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     whole = (F.col("na") <= K) & (F.col("nb") <= K)
     shared = F.when(whole, F.size(common)).otherwise(F.size(F.array_intersect(common, union)))
     both = both.select("a", "b", "na", "nb", whole.alias("whole"), shared.alias("shared"))
-    passed = written(both.where(F.when(F.col("whole"), 100 * F.col("shared") >= LINK * (F.col("na") + F.col("nb") - F.col("shared"))).otherwise(F.col("shared") >= ESTIMATE * K)))
+    passed = written(both.where(F.when(F.col("whole"), 100 * F.col("shared") >= link * (F.col("na") + F.col("nb") - F.col("shared"))).otherwise(F.col("shared") >= least_estimate(link) * K)))
     open_ = passed.where("NOT whole").select("a", "b", "na", "nb")
     ids = open_.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     small_batches(docs.sparkSession, 500)
@@ -135,7 +148,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     sets = written(full.groupBy("id").agg(F.first("shingles").alias("shingles")))
     left, right = (sets.select(F.col("id").alias(s), F.col("shingles").alias(f"s{s}")) for s in "ab")
     inner = F.size(F.array_intersect("sa", "sb"))
-    sure = open_.join(left, "a").join(right, "b").select("a", "b", "na", "nb", inner.alias("i")).where(100 * F.col("i") >= LINK * (F.col("na") + F.col("nb") - F.col("i")))
+    sure = open_.join(left, "a").join(right, "b").select("a", "b", "na", "nb", inner.alias("i")).where(100 * F.col("i") >= link * (F.col("na") + F.col("nb") - F.col("i")))
     return passed.where("whole").select("a", "b").unionByName(sure.select("a", "b"))
 
 
@@ -154,9 +167,9 @@ def _rare(values: DataFrame, listed: Column, needed: Column) -> DataFrame:
     return ranked.where(F.col("place") <= listed - needed + 1)
 
 
-def _alike(x: str, y: str) -> Column:
+def _alike(x: str, y: str, link: int) -> Column:
     """Whether two sizes leave room for a link."""
-    return 100 * F.least(x, y) >= LINK * F.greatest(x, y)
+    return 100 * F.least(x, y) >= link * F.greatest(x, y)
 
 
 def _mixed_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -166,31 +179,31 @@ def _mixed_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return placed.join(mixed, "v")
 
 
-def _pairs(lists: DataFrame, full: bool) -> DataFrame:
+def _pairs(lists: DataFrame, full: bool, link: int) -> DataFrame:
     """Pairs (a, b) of a list in different components whose sizes leave room for a link.
 
     In lists of full sets the places do so as well: where two sets meet first, what both have behind it is all that they
     can share. Pairs that link pass at the first list that they share. So do their shapes: sets that link differ in
-    (100 - LINK) / (100 + LINK) of their sizes' sum at most.
+    (100 - link) / (100 + link) of their sizes' sum at most.
     """
     left, right = (lists.select("v", *[F.col(x).alias(f"{s}{x}") for x in ("id", "n", "c", "place", *(["shape"] if full else []))]) for s in "ab")
-    meet = (F.col("aid") < F.col("bid")) & (F.col("ac") != F.col("bc")) & _alike("an", "bn")
+    meet = (F.col("aid") < F.col("bid")) & (F.col("ac") != F.col("bc")) & _alike("an", "bn", link)
     if full:
         most = 1 + F.least(F.col("an") - F.col("aplace"), F.col("bn") - F.col("bplace"))
-        meet &= 100 * most >= LINK * (F.col("an") + F.col("bn") - most)
+        meet &= 100 * most >= link * (F.col("an") + F.col("bn") - most)
         differ = F.aggregate(F.zip_with("ashape", "bshape", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-        meet &= (100 + LINK) * differ <= (100 - LINK) * (F.col("an") + F.col("bn"))
+        meet &= (100 + link) * differ <= (100 - link) * (F.col("an") + F.col("bn"))
     return left.join(right, "v").where(meet).select(F.col("aid").alias("a"), F.col("bid").alias("b"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Letters A-Z are lower-cased; words are runs without ASCII white space; a set holds the distinct shingles of five
     words, or the whole sequence where there are fewer. A null, empty or blank text has no set and links with
     nothing. Equal sets always link. component_id is the smallest doc_id reachable; kept: it is the row's own. A
     null doc_id links with nothing, and its component_id is null and kept true. Rows that repeat whole stay
-    rows of one document. No rows give no rows.
+    rows of one document. No rows give no rows. Sets link from a Jaccard similarity of ``link`` / 100 on.
     """
     small_batches(docs.sparkSession, 500)
     t = texts(docs)
@@ -200,29 +213,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = sketched.select(F.col("doc_id").alias("id"), "n", "sketch").where("n > 0").join(classes.select("id"), "id", "left_semi")
     reps = written(reps.groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
-    # Of two linked sets the smaller has LINK % of the larger one's size at least, and so has their intersection. The
-    # union has n * 100 / LINK shingles at most, of which 100 - LINK % can push shared ones out of a sketch.
-    shared = F.ceil(F.col("n") * LINK / 100)
-    some = F.greatest(F.lit(SHARED), F.least(shared, F.floor(K - F.col("n") * (100 - LINK) / LINK)))
-    needed = F.when(F.col("n") * 100 <= K * LINK, shared).otherwise(some)
+    # Of two linked sets the smaller has ``link`` % of the larger one's size at least, and so has their intersection. The
+    # union has n * 100 / link shingles at most, of which 100 - link % can push shared ones out of a sketch.
+    shared = F.ceil(F.col("n") * link / 100)
+    some = F.greatest(F.lit(least_shared(link)), F.least(shared, F.floor(K - F.col("n") * (100 - link) / link)))
+    needed = F.when(F.col("n") * 100 <= K * link, shared).otherwise(some)
     lists = written(_rare(reps.select("id", "n", F.explode("sketch").alias("v")), F.least("n", F.lit(K)), needed))
 
     heads = lists.groupBy("v").agg(F.max(F.struct("common", "id", "n")).alias("head")).select("v", F.col("head.id").alias("h"), F.col("head.n").alias("nh"))
-    stars = lists.join(heads, "v").where((F.col("id") != F.col("h")) & _alike("n", "nh"))
+    stars = lists.join(heads, "v").where((F.col("id") != F.col("h")) & _alike("n", "nh", link))
     stars = written(stars.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct())
-    links = written(_verified(stars, reps, t))
+    links = written(_verified(stars, reps, t, link))
     labels = components(links)
 
     mixed = _mixed_lists(lists, labels)
-    short = _pairs(mixed.where(F.col("size") <= SHORT), full=False)
+    short = _pairs(mixed.where(F.col("size") <= SHORT), full=False, link=link)
     crowded = written(mixed.where(F.col("size") > SHORT).select(F.col("id").alias("doc_id")).distinct())
     full = selected(t, crowded).mapInArrow(_shaped, "id long, shingles array<long>, shape array<int>")
     full = written(full.groupBy("id").agg(F.first("shingles").alias("shingles"), F.first("shape").alias("shape")))
     values = full.select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("v"))
     long = _mixed_lists(written(_rare(values, F.col("n"), shared)), labels).join(full.select("id", "shape"), "id")
-    long = _pairs(long, full=True)
+    long = _pairs(long, full=True, link=link)
     more = written(short.unionByName(long).distinct().join(stars, ["a", "b"], "left_anti"))
-    found = written(_verified(more, reps, t))
+    found = written(_verified(more, reps, t, link))
     labels = components(links.unionByName(found)) if found.limit(1).count() else labels
 
     label = classes.join(labels, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
@@ -232,9 +245,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_near(docs: DataFrame) -> DataFrame:
+def keep_near(docs: DataFrame, link: int = STAGE_LINK) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group of near duplicates, with all their columns."""
-    return selected(docs, written(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()), keep=False)
+    return selected(docs, written(near_duplicates(docs, link).where(~F.col("kept")).select("doc_id").distinct()), keep=False)
 
 
 SQL = """

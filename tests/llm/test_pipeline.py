@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from tesserae.llm import near
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +52,14 @@ def test_run_gives_every_piece(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(rows[0].asDict())
     assert sorted(r["piece"] for r in rows if r["doc_id"] == 1005) == [0, 1, 2]
+
+
+def test_near_stage_links_from_eight_tenths_on(spark):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(204)]  # 200 shingles
+    apart = lambda places: " ".join("changed" if i in places else w for i, w in enumerate(base))
+    # An edit within takes five shingles: 180 of 220 are common with four (0.82), 175 of 225 with five (0.78).
+    rows = [(1, " ".join(base)), (2, apart({20, 60, 100, 140})), (10, " ".join(reversed(base))), (11, " ".join("other" if i in (20, 60, 100, 140, 180) else w for i, w in enumerate(reversed(base))))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, "").collect()) == [1, 10, 11]
+    assert sorted(r["doc_id"] for r in near.near_duplicates(docs).where("kept").collect()) == [1, 2, 10, 11]
