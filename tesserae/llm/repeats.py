@@ -102,7 +102,7 @@ def _binary(column: pa.Array) -> tuple[bytes, np.ndarray]:
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """p: the tag of the text, the first window and the number of further ones in one long."""
+    """p: the first window and the number of further ones in one long."""
     for b in batches:
         raw, ends = _binary(b.column("text"))
         rows = np.array(list(blocks(raw, ends)) if len(ends) else [], dtype=object).reshape(-1, 4)
@@ -110,8 +110,8 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.searchsorted(ends, first, side="right")
         start = np.concatenate([[0], ends])[own]
         doc, tag = (b.column(c).to_numpy(zero_copy_only=False)[own] if len(own) else np.zeros(0, np.int64) for c in ("doc", "tag"))
-        p = (tag.astype(np.int64) << 48) | ((first - start) << 8) | (final - first)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[:, 2].astype(np.int64)), pa.array(rows[:, 3].astype(np.uint64).view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(p)], ["anchor", "block", "doc", "p"])
+        p = ((first - start) << 8) | (final - first)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[:, 2].astype(np.int64)), pa.array(rows[:, 3].astype(np.uint64).view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(tag.astype(np.int64)), pa.array(p)], ["anchor", "block", "doc", "tag", "p"])
 
 
 # ---- a suffix array in two stages
@@ -292,7 +292,7 @@ def spans(docs: DataFrame) -> DataFrame:
     """doc, tag, lo, hi: spans of bytes to remove, which may overlap, of texts (doc, tag, text)."""
     spark = docs.sparkSession
     small_batches(spark, 500)
-    found = docs.select("doc", "tag", F.col("text").cast("binary").alias("text")).where(F.octet_length("text") >= LENGTH).mapInArrow(_block_rows, "anchor long, block long, doc long, p long")
+    found = docs.select("doc", "tag", F.col("text").cast("binary").alias("text")).where(F.octet_length("text") >= LENGTH).mapInArrow(_block_rows, "anchor long, block long, doc long, tag long, p long")
     again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     again = written(again)  # so that the join deals out both sides itself, and a common anchor's part can be split
     found = written(found.join(again, "anchor", "left_semi"))
@@ -300,8 +300,8 @@ def spans(docs: DataFrame) -> DataFrame:
     _released(spark)
 
     key = ["anchor", "block"]
-    each = written(found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.first("doc").alias("doc"), F.first("p").alias("p")))
-    place = [F.shiftright("p", 48).alias("tag"), F.shiftright("p", 8).bitwiseAND(2**40 - 1).alias("first"), F.col("p").bitwiseAND(255).alias("more")]
+    each = written(found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("doc", "tag", "p")]))
+    place = ["tag", F.shiftright("p", 8).alias("first"), F.col("p").bitwiseAND(255).alias("more")]
     equal = found.join(each.where("n > 1").select(*key), key).select("doc", *place)
     whole = written(equal.select("doc", "tag", F.col("first").alias("lo"), (F.col("first") + F.col("more") + LENGTH).alias("hi")))
     remove(found)
@@ -363,9 +363,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A byte goes if a string of LENGTH bytes covers it that also starts anywhere else, in the same text or another; texts
     are judged as given. A null text is empty; texts under LENGTH bytes lose nothing. Rows that repeat whole are
     two places, so they lose all from LENGTH bytes on. A null doc_id is an id like others. No rows give no rows.
-    Rows of one doc_id and different texts are told apart by 15 bits of the text's hash.
+    Rows of one doc_id and different texts are told apart by a hash of 64 bits.
     """
-    t = texts(docs).select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.pmod(F.xxhash64("text"), F.lit(2**15)).alias("tag"), "text")
+    t = texts(docs).select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("tag"), "text")
     cut = written(spans(t.select("doc", "tag", "text")).groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("cut")))
     _released(docs.sparkSession)  # the texts that went by anchor, before they go by document
     both = t.join(cut, ["doc", "tag"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), "cut")

@@ -52,6 +52,17 @@ def test_against_brute_force(spark, monkeypatch, crowd):
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
+def test_many_texts_of_a_null_id_against_brute_force(spark):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(230)
+    # A block of the passage alone in each text, at another place: 1,200 texts share 15 bits of a hash in some 22 pairs.
+    rows = [(None, text(rng.randint(1, 150)) + passage + text(rng.randint(1, 150))) for _ in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = repeats.remove_repeats(docs).drop("removed").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
 def test_no_rows(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
