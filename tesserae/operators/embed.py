@@ -76,11 +76,12 @@ class LSA:
     """TF-IDF and its largest singular vectors, by power iteration over term and document factors kept as tables.
 
     A pass multiplies by the matrix and its transpose: two aggregations of sparse products of width k. Only k by k
-    matrices reach the driver, and the projection has a row per term, so neither grows with the documents.
+    matrices reach the driver, and the projection has a row per term, so neither grows with the documents. The factors
+    are ``oversample`` columns wider than what is kept.
     """
 
-    def __init__(self, dim: int = 64, max_share: float = 0.9, passes: int = 3, seed: int = 7):
-        self.dim, self.max_share, self.passes, self.seed = min(dim, 256), max_share, passes, seed
+    def __init__(self, dim: int = 64, max_share: float = 0.9, passes: int = 3, seed: int = 7, oversample: int = 10):
+        self.dim, self.max_share, self.passes, self.seed, self.oversample = min(dim, 256), max_share, passes, seed, oversample
         self.projection: DataFrame | None = None
 
     @staticmethod
@@ -90,8 +91,8 @@ class LSA:
         return rows.select("chunk_id", F.explode(words).alias("term")).groupBy("chunk_id", "term").agg((1 + F.log(F.count(F.lit(1)))).alias("tf"))
 
     @staticmethod
-    def _orthonormal(table: DataFrame, key: str) -> DataFrame:
-        """Columns made orthonormal by the Cholesky factor of their k by k products."""
+    def _orthonormal(table: DataFrame, key: str, most: int | None = None) -> DataFrame:
+        """Columns made orthonormal by the eigenvectors of their k by k products; the ``most`` of the largest values, largest first."""
         k = len(table.first()["f"])
         gram = np.zeros((k, k))
 
@@ -107,7 +108,7 @@ class LSA:
             gram += np.array(r["g"]).reshape(k, k)
         values, vectors = np.linalg.eigh(gram)
         good = values > max(values.max(), 1e-12) * 1e-10
-        turn = vectors[:, good] / np.sqrt(values[good])
+        turn = (vectors[:, good] / np.sqrt(values[good]))[:, ::-1][:, :most]
 
         def turned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -131,13 +132,13 @@ class LSA:
         df = some if some.limit(1).count() else df
         self.idf = df.select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1).alias("idf")).checkpoint()
         cells = cells.join(self.idf, "term").select("chunk_id", "term", (F.col("tf") * F.col("idf")).alias("weight")).checkpoint()
-        start = F.array(*[(F.xxhash64(F.col("term"), F.lit(self.seed + i)) / F.lit(2.0**63)) for i in range(self.dim)])
+        start = F.array(*[(F.xxhash64(F.col("term"), F.lit(self.seed + i)) / F.lit(2.0**63)) for i in range(self.dim + self.oversample)])
         terms = self._orthonormal(self.idf.select("term", start.alias("f")), "term").checkpoint()
         for _ in range(self.passes):
             docs = self._times(cells, terms, "term", "chunk_id").checkpoint()
             terms = self._orthonormal(self._times(cells, docs, "chunk_id", "term").checkpoint(), "term").checkpoint()
         # The projection is the term side times the singular values: the transpose times the unit documents.
-        docs = self._orthonormal(self._times(cells, terms, "term", "chunk_id").checkpoint(), "chunk_id").checkpoint()
+        docs = self._orthonormal(self._times(cells, terms, "term", "chunk_id").checkpoint(), "chunk_id", self.dim).checkpoint()
         self.projection = self._times(cells, docs, "chunk_id", "term").checkpoint()
         return self
 

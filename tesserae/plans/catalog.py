@@ -503,7 +503,7 @@ def hashed_token_vectors(spark, sf_dir):
 def lsa(spark, sf_dir):
     with_checkpoints(spark)
     p = _passages(spark, sf_dir)
-    return embed.LSA(8, passes=1).fit(p).embed(p)
+    return embed.LSA().fit(p).embed(p)
 
 
 _STORED = "replace(text, 'e', 'é')"
