@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
-from math import comb, floor, sqrt
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -47,12 +47,6 @@ def least_shared(link: int) -> int:
     return K
 
 
-def least_estimate(link: int) -> float:
-    """Pairs whose estimate is lower than this go: 5 standard deviations of an estimate from K values below the threshold."""
-    p = link / 100
-    return floor(100 * (p - 5 * sqrt(p * (1 - p) / K))) / 100
-
-
 class _Hashes(dict):
     """Hashes of words; forgets all once it holds 200,000."""
 
@@ -132,7 +126,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, link: int) -> DataFrame:
-    """The pairs (a, b) that link: by the estimate, then on full sets."""
+    """The pairs (a, b) that link: by the estimate, then on full sets.
+
+    Values that both sketches and the union's have in common are common to the sketches, so one bound holds for lists and estimate.
+    """
     side = lambda s: reps.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     common = F.array_intersect("sa", "sb")
@@ -140,7 +137,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, link: int) ->
     whole = (F.col("na") <= K) & (F.col("nb") <= K)
     shared = F.when(whole, F.size(common)).otherwise(F.size(F.array_intersect(common, union)))
     both = both.select("a", "b", "na", "nb", whole.alias("whole"), shared.alias("shared"))
-    passed = written(both.where(F.when(F.col("whole"), 100 * F.col("shared") >= link * (F.col("na") + F.col("nb") - F.col("shared"))).otherwise(F.col("shared") >= least_estimate(link) * K)))
+    passed = written(both.where(F.when(F.col("whole"), 100 * F.col("shared") >= link * (F.col("na") + F.col("nb") - F.col("shared"))).otherwise(F.col("shared") >= least_shared(link))))
     open_ = passed.where("NOT whole").select("a", "b", "na", "nb")
     ids = open_.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     small_batches(docs.sparkSession, 500)

@@ -72,6 +72,23 @@ def test_a_family_of_edits_against_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, near.near_duplicates(docs).collect())) == brute(rows)
 
 
+def test_a_link_whose_sketches_share_few_values(spark):
+    rng = random.Random(3)
+    base = [f"u{rng.randrange(10**7)}" for _ in range(2004)]
+    at = {int(near.shingles(" ".join(base[i : i + 5]))[0]): i for i in range(2000)}
+    words = list(base)
+    for edits, h in enumerate(sorted(at), 1):  # edits fall on the shingles of the sketch
+        words[at[h] + 2] = f"x{edits}"
+        a, b = (near.shingles(" ".join(w)) for w in (base, words))
+        union = sorted(set(a.tolist()) | set(b.tolist()))
+        shared = len(set(union[: near.K]) & set(a.tolist()) & set(b.tolist()))
+        if shared < 40:
+            break
+    assert 34 <= shared < 40 and 100 * len(set(a.tolist()) & set(b.tolist())) >= 85 * len(union)
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(words))], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near.near_duplicates(docs).where("kept").collect()) == [1]
+
+
 def test_repeated_rows_null_ids_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     got = sorted(map(tuple, near.near_duplicates(docs).where("doc_id IS NOT NULL").collect()))
