@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +28,27 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of some ``most`` bytes of text: short ones are put together, long ones cut, a row is whole."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(ends):
+            before = int(ends[at - 1]) if at else 0
+            stop = min(max(int(np.searchsorted(ends, before + most - size, side="right")), at + (not held)), len(ends))
+            if stop > at:
+                held.append(b.slice(at, stop - at))
+                size += int(ends[stop - 1]) - before
+                at = stop
+            if at < len(ends):
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 

@@ -8,103 +8,166 @@ next one. What the districts leave in badly filled bins is dealt again, to fewer
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import public_tokenizers
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from tokenizers import Tokenizer, normalizers, pre_tokenizers
+from tokenizers import Tokenizer
 
-from .common import small_batches, texts, written
+from .common import by_bytes, small_batches, texts, written
 
 CAPACITY, SEPARATOR = 2048, 0
 DISTRICT, ISLANDS, EPOCHS = 4096, 2, 2
-POPULATION, CHILDREN = 3, 4
+POPULATION, CHILDREN = 5, 16
 #: Bins under this share of the capacity are dealt again.
 LOOSE = 0.995
-ROUNDS = 2
-#: What tells one piece from another; copy numbers rows that share both others.
+ROUNDS = 3
+#: What tells one piece from another; copy is a number of the row, as rows may share both others.
 KEY = ["doc", "piece", "copy"]
 NO_ID = -(2**63)
 #: Where str.split, str.lower and the tokenizer's own steps could differ: controls that only str.split takes for white space, and the sigma.
 _ODD = "\x1c\x1d\x1e\x1fΣ"
+#: Bytes of texts that are encoded at once.
+TEXTS = 8 << 20
+#: No pair of tokens has this rank; ranks and places in a word share one number.
+_NO_RANK, _PLACES = 1 << 40, 64
+
+
+class Merges:
+    """The tokenizer's merges for many words at once: each step contracts every word's leftmost pair of least rank."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        ids = model["vocab"]
+        pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
+        left, right, self.made = (np.array([ids[x] for x in part], np.int64) for part in (*zip(*pairs, strict=True), [a + b for a, b in pairs]))
+        self.size = max(ids.values()) + 1
+        key = left * self.size + right
+        self.by = np.argsort(key, kind="stable")
+        self.key = key[self.by]
+        # Each byte as the tokenizer writes it, within a word and at its end.
+        printed = {c.encode("utf-8"): ids[c] for c in ids if len(c) == 1}
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        names = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        self.inner = np.array([printed[names[b].encode("utf-8")] for b in range(256)], np.int64)
+        self.final = np.array([ids[names[b] + model["end_of_word_suffix"]] for b in range(256)], np.int64)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a * self.size + b
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.by[at], _NO_RANK)
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each word of at most ``_PLACES`` bytes, none of them empty."""
+        n = len(words)
+        if not n:
+            return []
+        size = np.fromiter(map(len, words), np.int64, n)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(size)
+        token = self.inner[raw]
+        token[ends - 1] = self.final[raw[ends - 1]]
+        own = np.repeat(np.arange(n), size)
+        place = np.arange(len(raw)) - np.repeat(ends - size, size)
+        rank = np.full(len(raw), _NO_RANK)
+        inside = np.flatnonzero(own[:-1] == own[1:])
+        rank[inside] = self._rank(token[inside], token[inside + 1])
+        out = []
+        while len(token):
+            score = rank * _PLACES + place
+            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            best = np.minimum.reduceat(score, starts)
+            over = np.repeat(best, np.diff(np.append(starts, len(own))))
+            done = over >= _NO_RANK * _PLACES
+            out.append((own[done], token[done]))
+            at = np.flatnonzero((score == over) & ~done)
+            token[at] = self.made[rank[at]]
+            done[at + 1] = True  # taken into the token before it
+            keep = ~done
+            now = (np.cumsum(keep) - 1)[at]
+            token, own, place, rank = token[keep], own[keep], place[keep], rank[keep]
+            for k in (now, now[now > 0] - 1):
+                k = k if len(k) else np.zeros(0, np.int64)
+                after = np.minimum(k + 1, len(own) - 1)
+                fits = (after > k) & (own[k] == own[after])
+                rank[k] = np.where(fits, self._rank(token[k], token[after]), _NO_RANK)
+        owner, token = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.argsort(owner, kind="stable")
+        flat, cuts = token[order].astype("<u4").tobytes(), (4 * np.cumsum(np.bincount(owner, minlength=n))).tolist()
+        return [flat[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
 
 
 class Encoder:
     """Ids of whole texts, word by word: the tokenizer drops white space and never joins words across it.
 
-    Words are kept in lower case. A full stop or comma behind a letter is a token of its own, so "the" and "the," share
-    an encoding; and a word of letters alone is just what the tokenizer's pattern cuts out, so it goes
-    straight to the merges.
+    Words are kept in lower case. Each distinct word of a batch is looked up once, and a text's ids are gathered from those
+    of its words; a word that isn't known is cut by the tokenizer's own pattern, and its parts go through the merges.
     """
 
-    #: Each table has two generations of so many: a word of the older one moves up when it is met again.
-    WORDS, STEMS = 300_000, 180_000
+    #: The table of words has two generations of so many: a word of the older one moves up when it is met again.
+    WORDS = 400_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.merges.encode_special_tokens = True
-        self.merges.normalizer = normalizers.Sequence([])
-        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        # The last token of a word tells that it is the last.
-        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.merges = Merges(path)
+        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.words: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
-        self.old_stems: dict[str, bytes] = {}
-        self.marks = dict(zip(".,", self._encode([".", ","]), strict=True))
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        self.old: dict[str, bytes] = {}
 
-    def _merge(self, plain: list[str]) -> list[bytes]:
-        """Ids of words of letters, all in one call."""
-        if not plain:
-            return []
-        ids = np.array(self.merges.encode_batch_fast([plain], add_special_tokens=False, is_pretokenized=True)[0].ids, "<u4")
-        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn(self, words: list[str]) -> None:
-        cut = [(w, w[:-1] if w[-1] in self.marks and w[-2:-1].isalpha() else w) for w in words]
-        stems = {s for _, s in cut}.difference(self.stems)
-        again = stems.intersection(self.old_stems)
-        self.stems.update(zip(again, map(self.old_stems.__getitem__, again), strict=True))
-        stems -= again
-        plain = [s for s in stems if s.isalpha()]
-        other = [s for s in stems if not s.isalpha()]
-        self.stems.update(zip(plain, self._merge(plain), strict=True))
-        self.stems.update(zip(other, self._encode(other), strict=True))
-        for w, s in cut:
-            self.words[w] = self.stems[s] if w is s else self.stems[s] + self.marks[w[-1]]
-
-    def batch(self, batch: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, the separator at its end."""
-        words = [None if any(c in t for c in _ODD) or not (t.isascii() or unicodedata.is_normalized("NFC", t)) else t.lower().split() for t in batch]
+        # A word of letters alone is just one part.
+        plain = [w for w in words if w.isalpha() and len(w) <= _PLACES // 4]
+        self.words.update(zip(plain, self.merges([w.encode("utf-8") for w in plain]), strict=True))
+        other = [w for w in words if w not in self.words]
+        cut = [self.parts.findall(w) for w in other]
+        parts = [p.encode("utf-8") for p in chain.from_iterable(cut)]
+        fits = iter(self.merges([p for p in parts if len(p) <= _PLACES]))
+        ids = iter([next(fits) if len(p) <= _PLACES else self._encode(p.decode("utf-8")).tobytes() for p in parts])
+        self.words.update((w, b"".join(islice(ids, len(ps)))) for w, ps in zip(other, cut, strict=True))
+
+    def batch(self, batch: list[str]) -> list[np.ndarray]:
+        """Unsigned 32-bit ids of each text, the separator at its end."""
+        odd = [any(c in t for c in _ODD) or not (t.isascii() or unicodedata.is_normalized("NFC", t)) for t in batch]
+        # A blank, which is no word, stands for the separator.
+        cut = [[" "] if x else [*t.lower().split(), " "] for t, x in zip(batch, odd, strict=True)]
+        coded = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
+        code, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
         if len(self.words) > self.WORDS:
-            self.words, self.old_words = {}, self.words
-        if len(self.stems) > self.STEMS:
-            self.stems, self.old_stems = {}, self.stems
-        new = set().union(*(w for w in words if w)).difference(self.words)
-        again = new.intersection(self.old_words)
-        self.words.update(zip(again, map(self.old_words.__getitem__, again), strict=True))
-        new = list(new - again)
-        for i in range(0, len(new), 50_000):
-            self._learn(new[i : i + 50_000])
-        end, get = np.array([SEPARATOR], "<u4").tobytes(), self.words.__getitem__
-        return [(self._encode([t])[0] if ws is None else b"".join(map(get, ws))) + end for t, ws in zip(batch, words, strict=True)]
+            self.words, self.old = {}, self.words
+        self.words[" "] = np.array([SEPARATOR], "<u4").tobytes()
+        known = list(map(self.words.get, distinct))
+        new = [w for w, k in zip(distinct, known, strict=True) if k is None]
+        self.words.update((w, self.old[w]) for w in new if w in self.old)
+        missing = [w for w in new if w not in self.old]
+        for i in range(0, len(missing), 50_000):
+            self._learn(missing[i : i + 50_000])
+        found = map(self.words.__getitem__, new)
+        known = [next(found) if k is None else k for k in known]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        pool, first, each = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size, size[code]
+        ends = np.cumsum(each)
+        flat = pool[np.repeat(first[code] - (ends - each), each) + np.arange(int(each.sum()))]
+        stop = ends[np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut))) - 1].tolist()
+        ids = [flat[i:j] for i, j in zip([0, *stop[:-1]], stop, strict=True)]
+        return [np.concatenate([self._encode(t), i]) if x else i for t, x, i in zip(batch, odd, ids, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -123,12 +186,12 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
-        for b in batches:
+        for b in by_bytes(batches, TEXTS):
             rows = []
             for i, ids in zip(b.column("doc_id").to_pylist(), encoder.batch(b.column("text").to_pylist()), strict=True):
-                for k in range(0, len(ids), 4 * capacity):
-                    part = ids[k : k + 4 * capacity]
-                    rows.append((i, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
+                for k in range(0, len(ids), capacity):
+                    part = ids[k : k + capacity]
+                    rows.append((i, k // capacity, k, len(part), zlib.crc32(part)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -139,10 +202,10 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
 # A packing is a list of bins, a bin a list of the places of pieces in the district's array of lengths.
 
 
-def best_fit(bins: list[list[int]], items: list[int], lengths: list[int], capacity: int) -> list[list[int]]:
-    """``bins`` with ``items`` put, longest first, where they leave the least room; new bins where none has room."""
+def best_fit(bins: list[list[int]], items: list[int], lengths: list[int], capacity: int, as_given: bool = False) -> list[list[int]]:
+    """``bins`` with ``items`` put, longest first or as given, where they leave the least room; new bins where none has room."""
     room = sorted((capacity - sum(lengths[i] for i in b), k) for k, b in enumerate(bins))
-    for i in sorted(items, key=lambda i: (-lengths[i], i)):
+    for i in items if as_given else sorted(items, key=lambda i: (-lengths[i], i)):
         at = bisect_left(room, (lengths[i], -1))
         if at < len(room):
             left, k = room.pop(at)
@@ -169,26 +232,32 @@ def crossover(one: list[list[int]], other: list[list[int]], lengths: list[int],
     inside = {i for b in injected for i in b}
     kept = [list(b) for b in one if not inside.intersection(b)]
     loose = [i for b in one if inside.intersection(b) for i in b if i not in inside]
-    # The worst bins are opened too, so that displaced pieces find new partners.
+    # The worst bins are opened too, and one at random, so that displaced pieces find new partners.
     kept.sort(key=lambda b: -sum(lengths[i] for i in b))
     opened = max(1, len(kept) // 20)
     loose += [i for b in kept[len(kept) - opened :] for i in b]
-    return best_fit(injected + kept[: len(kept) - opened], loose, lengths, capacity)
+    kept = kept[: len(kept) - opened]
+    if kept:
+        loose += kept.pop(int(rng.integers(len(kept))))
+    if rng.random() < 0.5:
+        loose = [loose[k] for k in rng.permutation(len(loose))]
+        return best_fit(injected + kept, loose, lengths, capacity, as_given=True)
+    return best_fit(injected + kept, loose, lengths, capacity)
 
 
 def evolve(lengths: list[int], seeds: list[list[list[int]]], capacity: int, seed: int, size: int = POPULATION, children: int = CHILDREN) -> list[list[int]]:
-    """The best packing after ``children`` crossovers in a population that starts with ``seeds``."""
+    """The best packing after ``children`` crossovers in a population that starts with ``seeds``; the first that can't be beaten."""
     rng = np.random.default_rng(seed)
     least = -(-sum(lengths) // capacity)
+    for s in seeds:
+        if len(s) <= least:
+            return s
     people = [[list(b) for b in s] for s in seeds]
     while len(people) < size:
-        # First fit of a random share, then best fit of the rest: near to best-fit decreasing, and not all alike.
-        order = rng.permutation(len(lengths))
-        first = order[: len(order) // 20].tolist()
-        bins: list[list[int]] = []
-        for i in first:
-            bins = best_fit(bins, [i], lengths, capacity) if len(bins) < 8 else [*bins, [i]]
-        people.append(best_fit(bins, order[len(first) :].tolist(), lengths, capacity))
+        # Best fit of a random share as it comes, then of the rest longest first: good packings that aren't alike.
+        order = rng.permutation(len(lengths)).tolist()
+        share = int(len(order) * rng.random())
+        people.append(best_fit(best_fit([], order[:share], lengths, capacity, as_given=True), order[share:], lengths, capacity))
     scored = sorted(((cost(p, lengths, capacity), k, p) for k, p in enumerate(people)), key=lambda x: x[:2])
     for k in range(children):
         if scored[0][0][0] <= least or len(scored) < 2:
@@ -219,7 +288,8 @@ def _epoch(capacity: int, epoch: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         lengths = rows.length.tolist()
         island, place = int(rows.island.iloc[0]), int(rows.district.iloc[0])
         seeds = [_bins(rows[c].to_numpy(int)) for c in ("numbers", "guest") if c in rows and rows[c].notna().all()]
-        seeds = seeds or ([best_fit([], list(range(len(lengths))), lengths, capacity)] if island == 0 else [])
+        # Every island starts from best-fit decreasing, so no packing is worse; what else it starts from is its own.
+        seeds = seeds or [best_fit([], list(range(len(lengths))), lengths, capacity)]
         best = evolve(lengths, seeds, capacity, place * 1009 + island * 31 + epoch)
         return rows.assign(numbers=_numbered(best, len(rows)))[[*KEY, "length", "district", "numbers", "island"]]
 
@@ -236,7 +306,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, district: int = DISTRICT) -
     # A district is a hash of the key: about as many pieces in each, and the same pieces whenever a task runs anew.
     dealt = items.select(*KEY, "length", F.pmod(F.xxhash64(*KEY), F.lit(districts)).alias("district"))
     state = dealt.withColumn("numbers", F.lit(None).cast("int")).withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
-    schema = "doc long, piece int, copy int, length long, district long, numbers int, island int"
+    schema = "doc long, piece int, copy long, length long, district long, numbers int, island int"
     for epoch in range(EPOCHS):
         if epoch:
             # The elite of each island moves on to the next: the same pieces, numbered as the neighbour packed them.
@@ -250,16 +320,15 @@ def pack(items: DataFrame, capacity: int = CAPACITY, district: int = DISTRICT) -
     return state.join(best, ["district", "island"], "left_semi").select(*KEY, "length", (F.col("district") * 2**24 + F.col("numbers")).alias("bin"))
 
 
-def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, district: int = DISTRICT) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null text is an empty one and has the separator alone. Rows that share a doc_id, whole copies too, get places
-    of their own. Pieces of equal length are told apart by their ids. Null ids are packed as any other. No rows give
-    no rows. Only texts of more than ``capacity`` ids are cut.
+    of their own, however many there are. Null ids are packed as any other, and other columns of ``docs`` aren't looked at.
+    No rows give no rows. Only texts of more than ``capacity`` ids are cut.
     """
     rows = pieces(docs, path, capacity).withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID)))
-    same = Window.partitionBy("doc", "piece").orderBy("length", "ids_crc32")
-    rows = written(rows.withColumn("copy", F.row_number().over(same)))
+    rows = written(rows.withColumn("copy", F.monotonically_increasing_id()))  # fixed once the table is there
 
     full = rows.where(F.col("length") >= capacity)
     shares = max(1, full.count() // 100_000)
@@ -269,13 +338,15 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
 
     left = rows.where(F.col("length") < capacity).select(*KEY, "length")
     for k in range(ROUNDS):
-        got = written(pack(left, capacity).withColumn("bin", F.lit(k * 2**58) + F.col("bin")))
+        got = written(pack(left, capacity, district).withColumn("bin", F.lit(k * 2**58) + F.col("bin")))
         stay = got
-        if k < ROUNDS - 1:
+        if k < ROUNDS - 1 and left.count() > district:
             loose = got.groupBy("bin").agg(F.sum("length").alias("s")).where(F.col("s") < LOOSE * capacity).select("bin")
             stay = got.join(loose, "bin", "left_anti")
             left = written(got.join(loose, "bin", "left_semi").select(*KEY, "length"))
         placed = placed.unionByName(stay.select(*KEY, "bin"))
+        if stay is got:
+            break
 
     before = Window.partitionBy("bin").orderBy(F.desc("length"), *KEY).rowsBetween(Window.unboundedPreceding, -1)
     out = rows.join(placed, KEY).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
