@@ -6,9 +6,11 @@
    as a whole repeat as a whole. Both are counts by key, combined before the shuffle.
 3. What remains are different blocks with one anchor, at the edges of passages and around edits. Their bytes meet by
    anchor and are sorted by a suffix array in two stages: the suffixes smaller than their successors directly, the
-   others by scans of buckets. Neighbours whose common prefix has 200 bytes are repeats. An anchor with
-   too many different blocks for one task is dealt to several; what repeats within a task is found there, and digests
-   of the other windows, and of one of each that repeats, are counted by key.
+   others by scans of buckets. Neighbours whose common prefix has 200 bytes are repeats.
+4. Where an anchor has too many different blocks for one task, each block is parted by how far before the anchor its
+   windows start, in ranges of 64 places. What all windows of a range have in common is longer than the anchor, and is the
+   part's anchor in its turn: steps 2 and 3 again, then with ranges of 32 places, down to single windows.
+   As equal windows lie in equal ranges they still meet, and a block has few parts that stay, near the edge of what it shares.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from .common import remove, small_batches, texts, written
 LENGTH, GRAM = 200, 64
 #: Bytes whose blocks are found at once, and bytes of a suffix array.
 CHUNK, ARRAY = 2_000_000, 1_500_000
-#: An anchor with more different blocks is dealt to groups of so many or so.
-CROWD = 2048
+#: An anchor with more different blocks has them parted, by ranges of 2**shift places.
+CROWD, SHIFTS = 2048, (6, 5, 4, 3, 2, 1, 0)
 NO_ID = -(2**63)
 _RANDOM = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -238,7 +240,7 @@ def _groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[dict
     size = 0
     for b in batches:
         for r in b.to_pylist():
-            if held and size >= least and (r["anchor"], r["share"]) != (held[-1]["anchor"], held[-1]["share"]):
+            if held and size >= least and r["anchor"] != held[-1]["anchor"]:
                 yield held
                 held, size = [], 0
             held.append(r)
@@ -258,28 +260,36 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _found_in(rows, repeated_windows([r["bytes"] for r in rows], [r["more"] + 1 for r in rows]))
 
 
-def _shared_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One group at a time: its spans, and (w1, w2, times) of windows; doc, tag and lo where nobody has found it yet."""
-    names = ["doc", "tag", "lo", "hi", "w1", "w2", "times"]
-    for rows in _groups(batches, 0):
-        hits = repeated_windows([r["bytes"] for r in rows], [r["more"] + 1 for r in rows])
-        spans = _found_in(rows, hits)
-        none = pa.nulls(len(spans), pa.int64())
-        yield pa.RecordBatch.from_arrays([*spans.columns, none, none, none], names)
-        open_, shown = [], set()
-        for r, h in zip(rows, hits, strict=True):
-            twice = set(h.tolist())
-            for k in range(r["more"] + 1):
-                d = xxhash.xxh3_128_digest(r["bytes"][k : k + LENGTH])
-                if r["n"] > 1 or k in twice:
-                    if d not in shown:
-                        open_.append((None, None, None, d, 2))
-                    shown.add(d)
-                else:
-                    open_.append((r["doc"], r["tag"], r["first"] + k, d, 1))
-        digest = np.frombuffer(b"".join(x[3] for x in open_), ">i8").astype(np.int64).reshape(-1, 2)
-        doc, tag, lo, times = (pa.array([x[k] for x in open_], pa.int64()) for k in (0, 1, 2, 4))
-        yield pa.RecordBatch.from_arrays([doc, tag, lo, pa.nulls(len(open_), pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), times], names)
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with l: how many bytes of the block's first window stand before its anchor."""
+    for b in batches:
+        l = [int(_anchored(np.frombuffer(x, np.uint8))[1][0]) for x in b.column("bytes").to_pylist()]  # noqa: E741
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(l, pa.int64())], [*b.schema.names, "l"])
+
+
+def _parted(shift: int):
+    """Each block in parts, by ranges of 2**shift bytes before the anchor. What all windows of a range have in common is the part's anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                l, raw, at = r["l"], r["bytes"], 0  # noqa: E741
+                while at <= r["more"]:
+                    low = (l - at) >> shift << shift
+                    last = min(r["more"], l - low)
+                    high = min(low + (1 << shift) - 1, LENGTH - GRAM)
+                    core, part = raw[l - low : l + LENGTH - high], raw[at : last + LENGTH]
+                    # Seeded by the range, as equal bytes of another range are another anchor.
+                    anchor = xxhash.xxh3_64_intdigest(core, seed=low)
+                    rows.append((anchor, xxhash.xxh3_64_intdigest(part), r["n"], r["doc"], r["tag"], r["first"] + at, last - at, part, l - at))
+                    at = last + 1
+            columns = list(zip(*rows, strict=True)) or [()] * 9
+            hashes = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns[:2]]
+            kinds = (*[pa.int64()] * 5, pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*hashes, *[pa.array(c, t) for c, t in zip(columns[2:], kinds, strict=True)]], ["anchor", "block", "n", "doc", "tag", "first", "more", "bytes", "l"])
+
+    return run
 
 
 def _released(spark: SparkSession) -> None:
@@ -306,27 +316,42 @@ def spans(docs: DataFrame) -> DataFrame:
     whole = written(equal.select("doc", "tag", F.col("first").alias("lo"), (F.col("first") + F.col("more") + LENGTH).alias("hi")))
     remove(found)
 
-    crowd = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
-    open_ = written(each.join(crowd, "anchor").select("anchor", "crowd", "n", "doc", *place))
+    open_ = written(_open(each).select("anchor", "crowd", "n", "doc", *place))
     remove(each)
     _released(spark)
+    # The bytes are taken where a block meets its text, so the text goes no further.
     bytes_ = F.substring(F.col("text").cast("binary"), (F.col("first") + 1).cast("int"), (F.col("more") + LENGTH).cast("int"))
-    share = F.pmod(F.xxhash64("doc", "tag", "first"), F.ceil(F.col("crowd") / CROWD)).alias("share")
-    group = ["anchor", "share"]
-    with_text = open_.join(docs, ["doc", "tag"]).dropDuplicates(["doc", "tag", "first", "anchor"]).select("anchor", share, "crowd", "n", "doc", "tag", "first", "more", bytes_.alias("bytes"))
-    near = lambda rows: rows.drop("crowd").repartition(*group).sortWithinPartitions(*group, "doc", "tag", "first")
-    few = near(with_text.where(F.col("crowd") <= CROWD))
-    result = whole.unionByName(few.mapInArrow(_sorted_out, "doc long, tag long, lo long, hi long"))
-    if open_.where(F.col("crowd") > CROWD).limit(1).count():
-        many = near(with_text.where(F.col("crowd") > CROWD))
-        many = written(many.mapInArrow(_shared_out, "doc long, tag long, lo long, hi long, w1 long, w2 long, times long"))
-        result = result.unionByName(many.where("w1 IS NULL").select("doc", "tag", "lo", "hi"))
-        windows = many.where("w1 IS NOT NULL")
-        twice = windows.groupBy("w1", "w2").agg(F.sum("times").alias("times")).where("times > 1").select("w1", "w2")
-        result = result.unionByName(windows.where("times = 1").select("w1", "w2", "doc", "tag", "lo").join(twice, ["w1", "w2"]).select("doc", "tag", "lo", (F.col("lo") + LENGTH).alias("hi")))
+    with_text = open_.join(docs, ["doc", "tag"]).select("anchor", "crowd", "n", "doc", "tag", "first", "more", bytes_.alias("bytes")).dropDuplicates(["doc", "tag", "first", "anchor"])
+    crowded = open_.where(F.col("crowd") > CROWD).limit(1).count() > 0
+    sorted_out = lambda rows: rows.drop("crowd", "l").repartition("anchor").sortWithinPartitions("anchor", "doc", "tag", "first").mapInArrow(_sorted_out, "doc long, tag long, lo long, hi long")
+    result = whole.unionByName(sorted_out(with_text.where(F.col("crowd") <= CROWD)))
+
+    many = None
+    for shift in SHIFTS if crowded else ():
+        if many is None:
+            kind = "anchor long, crowd long, n long, doc long, tag long, first long, more long, bytes binary"
+            many = with_text.where(F.col("crowd") > CROWD).mapInArrow(_placed, f"{kind}, l long")
+        parts = written(many.drop("crowd").mapInArrow(_parted(shift), "anchor long, block long, n long, doc long, tag long, first long, more long, bytes binary, l long"))
+        one = F.struct("doc", "tag", "first", "more", "bytes", "l")
+        each = written(parts.groupBy(*key).agg(F.sum("n").alias("n"), F.first(one).alias("one")).select(*key, "n", "one.*"))
+        equal = parts.where("n = 1").join(each.where("n > 1").select(*key), key)
+        result = result.unionByName(written(equal.select("doc", "tag", F.col("first").alias("lo"), (F.col("first") + F.col("more") + LENGTH).alias("hi"))))
+        remove(parts)
+        open_ = written(_open(each).select("anchor", "crowd", "n", "doc", "tag", "first", "more", "bytes", "l"))
+        remove(each)
+        result = result.unionByName(sorted_out(open_.where(F.col("crowd") <= CROWD)))
+        many = open_.where(F.col("crowd") > CROWD)
+        if not many.limit(1).count():
+            break
     return result
 
 
+def _open(each: DataFrame) -> DataFrame:
+    """The different blocks whose anchor has several, with their number as crowd."""
+    crowd = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
+    return each.join(written(crowd), "anchor")
+
+
 def merged(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
     """Spans as maximal runs; those that touch are one."""
     out: list[tuple[int, int]] = []

@@ -43,7 +43,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("crowd", [2048, 3])
+@pytest.mark.parametrize("crowd", [2048, 3, 1])
 def test_against_brute_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(repeats, "CROWD", crowd)
     rows = corpus(1)
@@ -63,6 +63,16 @@ def test_many_texts_of_a_null_id_against_brute_force(spark):
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
+def test_one_very_long_text(spark):
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(1000))
+    filler = np.random.default_rng(2).integers(97, 123, 10_000_000).astype(np.uint8).tobytes().decode()
+    docs = spark.createDataFrame([(1, filler[:5_000_000] + passage + filler[5_000_000:]), (2, "x" + passage)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in repeats.remove_repeats(docs).collect()}
+    assert [(x["lo"], x["hi"]) for x in got[1]["removed"]] == [(5_000_000, 5_001_000)] and got[1]["kept_sha256"] == hashlib.sha256(filler.encode()).hexdigest()
+    assert [got[2][c] for c in ("n_bytes", "n_removed", "n_spans")] == [1001, 1000, 1]
+
+
 def test_no_rows(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
