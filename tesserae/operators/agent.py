@@ -47,8 +47,8 @@ def grade(units: DataFrame) -> DataFrame:
 
 
 def dedupe(units: DataFrame) -> DataFrame:
-    """Of a query's units with one chunk the best."""
-    best = Window.partitionBy("query_id", "chunk_id").orderBy(F.desc(final_score()))
+    """Of a query's units with one chunk the best; of equals the one that comes first when written out."""
+    best = Window.partitionBy("query_id", "chunk_id").orderBy(F.desc(final_score()), F.to_json(F.struct(*units.columns)))
     return units.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 

@@ -94,5 +94,6 @@ def chunk(documents: DataFrame, cfg: Chunking | None = None) -> DataFrame:
 
 
 def indexable(chunks: DataFrame) -> DataFrame:
-    """Chunks to index: of documents in parents and children the children, else all."""
-    return chunks.where(~F.col("chunk_id").rlike("#p[0-9]+$"))
+    """Chunks to index: all but those that are the parent of another."""
+    parents = chunks.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("_parent")).distinct()
+    return chunks.join(parents, F.col("chunk_id") == F.col("_parent"), "left_anti")
