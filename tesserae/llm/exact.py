@@ -54,11 +54,23 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_exact(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group, with all their columns; rows without an id go by text."""
-    gone = exact_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha"))
-    own = docs.withColumn("_own_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    kept = own.join(gone, own["doc_id"].eqNullSafe(F.col("_gone")) & (F.col("_own_sha") == F.col("_gone_sha")), "left_anti")
-    return kept.dropDuplicates(["doc_id", "_own_sha"]).drop("_own_sha")
+    """The rows of ``docs`` that stay, one of each group, with all their columns; rows without an id go by text.
+
+    Texts as in ``exact_duplicates``. Lengths and prefix hashes are counted first; the full hash is taken only of texts whose length
+    and prefix occur twice, and only they are compared: all other rows stay as they are, and aren't hashed. Of rows that
+    share the largest doc_id one stays. Columns of any name pass through. No rows give no rows.
+    """
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("doc_id"), F.octet_length(text).alias("n_bytes"), F.xxhash64(F.substring(text, 1, PREFIX)).alias("head"))
+    shapes = own.groupBy("n_bytes", "head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("n_bytes", "head")
+    shapes = written(shapes)
+    alone = own.join(shapes, ["n_bytes", "head"], "left_anti").select("row.*")
+    again = own.join(shapes, ["n_bytes", "head"], "left_semi").withColumn("sha", F.sha2(F.coalesce("row.text", F.lit("")), 256))
+    # One number for each row and table, so that of rows with one doc_id one can be named.
+    hashed = written(again.withColumn("place", F.monotonically_increasing_id()))
+    stay = hashed.groupBy("n_bytes", "head", "sha").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))), "place")).alias("best")).select(F.col("best.place").alias("place"))
+    kept = hashed.join(written(stay), "place", "left_semi").select("row.*")
+    return alone.unionByName(kept)
 
 
 SQL = """
