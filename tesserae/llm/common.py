@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -71,6 +71,28 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def thinned(rows: DataFrame, size: int, id_col: str = "doc_id") -> DataFrame:
+    """About ``size`` of the rows, those whose hash of the id is under a bound; all, if there are no more.
+
+    The bound comes from a count, so no task gathers rows of all others to find the smallest. With so many rows that
+    ``size`` are a sample, their number is ``size`` give or take a few of its square root.
+    """
+    total = rows.count()
+    return rows if total <= size else rows.where(_under(F.lit(size / total), id_col))
+
+
+def thinned_each(rows: DataFrame, size: int, by: str, most: int, id_col: str = "doc_id") -> DataFrame:
+    """As ``thinned``, about ``size`` rows for each value of ``by``, of the ``most`` values that have most rows."""
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), by).limit(most)
+    shares = counts.select(F.col(by).alias("_by"), F.least(F.lit(1.0), F.lit(float(size)) / F.col("_n")).alias("_share"))
+    # ``most`` rows at most are sent.
+    return rows.join(F.broadcast(shares), F.col(by) == F.col("_by")).where((F.col("_share") >= 1) | _under(F.col("_share"), id_col)).drop("_by", "_share")
+
+
+def _under(share: Column, id_col: str) -> Column:
+    return F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) < share * float(1 << 40)
+
+
 #: The most ids that a join may broadcast: 16 MB.
 MOST_SENT = 1_000_000
 

@@ -17,17 +17,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts
+from .common import small_batches, texts, thinned_each
 from .toxicity import fold, isotonic
 
 FOLDS, HELD_OUT = 4, 2
 ORDER, DISCOUNT = 5, 0.75
-#: The most rows of each language that the fit takes, those with the smallest hashes of their ids, and at most so many languages.
+#: The most rows of each language that the fit takes, or a few more: those with small hashes of their ids; and at most so many languages.
 SAMPLE, LANGUAGES = 2_000, 200
 #: One row in so many of the sample calibrates instead of being counted.
 CALIBRATE = 5
 #: Words that a Python worker remembers the costs of.
 MOST = 200_000
+#: Letters whose costs are computed at once.
+LETTERS = 200_000
+#: A prediction is rejected where its calibrated chance to be right is less.
+SURE = 0.8
 WORD = re.compile(r"[^\W\d_]+")
 NONE = "und"
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -154,10 +158,14 @@ class Model:
         if len(self.known) > MOST:
             self.known.clear()
         new = list(batch.difference(self.known)) if self.names else []
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            grams = Grams(part)
-            self.known.update(zip(part, np.column_stack([self.costs(grams), grams.size]), strict=True))
+        # Scripts without blanks have words as long as a text, so batches go by letters; only a longer word is one alone.
+        ends = np.cumsum([len(w) for w in new])
+        at = 0
+        while at < len(new):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LETTERS, side="right")))
+            grams = Grams(new[at:stop])
+            self.known.update(zip(new[at:stop], np.column_stack([self.costs(grams), grams.size]), strict=True))
+            at = stop
 
     def entropies(self, batch: list[str | None]) -> np.ndarray:
         """Cross-entropy per character of each text for each language, NaN without letters."""
@@ -188,16 +196,10 @@ def margin(e: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """doc_id, text, lang, part: the rows to learn from, at most ``size`` of each language."""
-    from pyspark.sql.window import Window
-
+    """doc_id, text, lang, part: the rows to learn from, about ``size`` of each of at most LANGUAGES languages."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("doc_id").alias("_h"))
-    # row_number <= size is cut to ``size`` rows of each language in every task before the shuffle.
-    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_r") <= size)
-    first = first.orderBy("_r", "lang").limit(size * LANGUAGES).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.pmod("_h", F.lit(CALIBRATE)).cast("int").alias("part"))
-    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "lang")
-    return t.join(F.broadcast(first), (t["doc_id"] == F.col("_id")) & (t["lang"] == F.col("_lang"))).select("doc_id", "text", "lang", "part")
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "lang")
+    return thinned_each(rows, size, "lang", LANGUAGES).withColumn("part", F.pmod(F.shiftright(F.xxhash64("doc_id"), 40), F.lit(CALIBRATE)).cast("int"))
 
 
 def fit(docs: DataFrame, size: int = SAMPLE) -> Model:
@@ -234,12 +236,12 @@ def fit(docs: DataFrame, size: int = SAMPLE) -> Model:
     return model
 
 
-def predict_language(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, lang_pred, score.
+def predict_language(docs: DataFrame, model: Model, sure: float = SURE) -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, lang_pred, score, rejected.
 
     A null text and one without a letter are ``und`` with score 0. Of equal entropies the language that sorts first
-    wins. score is the calibrated chance that the prediction is right; callers reject below a score of their own. A
-    null doc_id has held_out null. Without a label to learn from all rows are ``und``. No rows give no rows.
+    wins. score is the calibrated chance that the prediction is right; under ``sure`` the prediction is rejected, and ``und`` is always.
+    Very long texts count whole; equal texts get equal rows, and other columns aren't looked at. A null doc_id has held_out null. Without a label to learn from all rows are ``und``. No rows give no rows.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # arrays of a bounded sample
@@ -251,4 +253,4 @@ def predict_language(docs: DataFrame, model: Model) -> DataFrame:
 
     small_batches(spark)
     got = texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
-    return got.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")
+    return got.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score", (F.col("score") < sure).alias("rejected"))

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, thinned
 
 #: The first letter is looked at before the words are.
 ASSIGN = r"""(?i)(?=[past])(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -99,7 +99,7 @@ def labelled(docs: DataFrame, n_random: int = N_RANDOM, n_docs: int = N_DOCS) ->
     """The samples: s, random (1 or 0).
 
     Random strings are hex and Base64 digits of hashes of a counter, 40 characters long. Ordinary ones are the words
-    of ``n_docs`` documents (those with the smallest hashes of their ids), as they are and in pairs joined by
+    of about ``n_docs`` documents (by the hashes of their ids), as they are and in pairs joined by
     ``_`` or ``-``, as programs and paths join them, less what the fixed patterns take and long words with digits, which may be secrets.
     """
     spark = docs.sparkSession
@@ -109,8 +109,7 @@ def labelled(docs: DataFrame, n_random: int = N_RANDOM, n_docs: int = N_DOCS) ->
         F.explode(F.array(F.substring(digest, 1, 40), F.upper(F.substring(digest, 1, 40)), F.substring(F.base64(F.unhex(digest)), 1, 40), F.translate(F.substring(F.base64(F.unhex(digest)), 3, 40), "+/", "-_"))).alias("s"),
         F.lit(1).alias("random"),
     )
-    chosen = docs.select(F.xxhash64("doc_id").alias("_h"), "doc_id").orderBy("_h", "doc_id").limit(n_docs).select(F.col("doc_id").alias("_id"))
-    sample = docs.join(F.broadcast(chosen), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")  # n_docs ids at most
+    sample = thinned(docs, n_docs)
     plain = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
     words = F.expr("filter(regexp_extract_all(_plain, '[A-Za-z][A-Za-z0-9_-]+', 0), w -> length(w) < 20 or not rlike(w, '[0-9]'))")
     pairs = F.expr("transform(_w, (w, i) -> if(i % 4 = 0, concat(w, '_', coalesce(try_element_at(_w, i + 2), '')), if(i % 4 = 1, concat(w, '-', coalesce(try_element_at(_w, i + 2), '')), w)))")

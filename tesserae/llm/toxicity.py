@@ -14,10 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts
+from .common import small_batches, texts, thinned, written
 
 FOLDS, HELD_OUT = 5, 0
-#: The most rows with a label that the fit takes: those with the smallest hashes of their ids.
+#: The most rows with a label that the fit takes, or a few more: those with small hashes of their ids.
 SAMPLE = 20_000
 #: A lexicon has at most so many words, each in so many toxic rows of the sample at least.
 LEXICON, LEAST = 200, 4
@@ -147,10 +147,10 @@ class Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """doc_id, text, toxic: rows of the training folds with a label, at most ``size``; a null label is none."""
+    """doc_id, text, toxic: rows of the training folds with a label, about ``size`` at most; a null label is none."""
     y = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    y = y.where(fold(F.col("doc_id")) != HELD_OUT).select("doc_id", "toxic", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "doc_id").limit(size)
-    return texts(docs).join(F.broadcast(y.select("doc_id", "toxic")), "doc_id")  # ``size`` rows at most
+    y = thinned(written(y.where(fold(F.col("doc_id")) != HELD_OUT).select("doc_id", "toxic")), size)
+    return texts(docs).join(F.broadcast(y), "doc_id")  # about ``size`` rows
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:

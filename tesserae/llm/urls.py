@@ -9,19 +9,18 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import written
+from .common import thinned, written
 
 #: verdict, host, path
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: The most labelled URLs that the fit takes: those with the smallest hashes of their ids.
+#: The most labelled URLs that the fit takes, or a few more: those with small hashes of their ids.
 SAMPLE = 50_000
 #: A set of tokens stands in this share of the blocked sample URLs and in so many of them at least, and has so many tokens at most.
 SUPPORT, LEAST, LONGEST = 0.005, 5, 3
 #: Of the sample URLs that hold the set, this share is blocked.
 CONFIDENCE = 0.6
-#: The most mined rules, by confidence and then support; there are fewer sets of such support unless URLs are all alike.
-MOST = 20_000
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -56,24 +55,34 @@ def mine(pages: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     an inverted index: a URL meets the sets filed under its tokens.
     """
     y = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    y = y.select("doc_id", "quality", F.xxhash64("doc_id").alias("_h"))
-    first = parsed(pages).where("page_id IS NOT NULL").dropDuplicates(["page_id"]).join(y, F.col("page_id") == F.col("doc_id")).orderBy("_h", "page_id").limit(size)
-    sample = written(first.select("page_id", "quality", tokens().alias("items")))
+    y = thinned(written(y), size)
+    first = parsed(pages).where("page_id IS NOT NULL").join(F.broadcast(y), F.col("page_id") == F.col("doc_id")).groupBy("page_id", "quality").agg(F.min_by(F.struct("url", "host", "path"), "url").alias("p"))
+    sample = written(first.select("page_id", "quality", "p.*").select("page_id", "quality", tokens().alias("items")))
     bad = sample.where("quality = 0")
+    rare = written(sample.select(F.explode("items").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("uses")))
+    # Tokens that stand in the same blocked URLs would make a set of every choice among them. A set needs no more than LONGEST:
+    # the rarest of all sample URLs, with which confidence is highest.
+    marks = [F.sum(F.pmod(F.xxhash64("page_id", F.lit(k)), F.lit(1 << 30))).alias(f"h{k}") for k in (1, 2)]
+    where = bad.select("page_id", F.explode("items").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), *marks).where(F.col("n") >= LEAST).join(rare, "token")
+    order = F.row_number().over(Window.partitionBy("n", "h1", "h2").orderBy("uses", "token"))
+    chosen = where.withColumn("r", order).where(F.col("r") <= LONGEST).select("token")
+    reduced = bad.select("page_id", F.explode("items").alias("token")).join(chosen, "token").groupBy("page_id").agg(F.collect_list("token").alias("items"))
     n = bad.count()
     schema = "token string, items array<string>, confidence double, support bigint"
     if not n:
         return pages.sparkSession.createDataFrame([], schema)
-    sets = FPGrowth(itemsCol="items", minSupport=max(SUPPORT, LEAST / n), minConfidence=CONFIDENCE).fit(bad.select("items")).freqItemsets
+    sets = FPGrowth(itemsCol="items", minSupport=max(SUPPORT, LEAST / n), minConfidence=CONFIDENCE).fit(reduced.select("items")).freqItemsets
     sets = sets.where((F.size("items") <= LONGEST) & (F.col("freq") >= LEAST)).select(F.array_sort("items").alias("items"), "freq")
-    rare = sample.select(F.explode("items").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
     filed = sets.select("items", "freq", F.explode("items").alias("token")).join(rare, "token").groupBy("items", "freq").agg(F.min_by("token", F.struct("uses", "token")).alias("token"))
     filed = written(filed)
     posted = sample.select("items", F.explode("items").alias("token")).select("token", F.col("items").alias("url_items"))
     held = posted.join(filed, "token").where(F.size(F.array_except("items", "url_items")) == 0)
     scored = held.groupBy("items", "freq", "token").agg(F.count(F.lit(1)).alias("seen")).withColumn("confidence", F.col("freq") / F.col("seen"))
-    kept = scored.where(F.col("confidence") >= CONFIDENCE).orderBy(F.desc("confidence"), F.desc("freq"), F.size("items"), "items").limit(MOST)
-    return written(kept.select("token", "items", "confidence", F.col("freq").alias("support")))
+    kept = written(scored.where(F.col("confidence") >= CONFIDENCE).select("token", "items", "confidence", F.col("freq").alias("support")))
+    # A URL that holds a set holds its parts: a set with a rule within it decides nothing.
+    parts = F.expr("filter(array_union(transform(items, x -> array(x)), transform(items, x -> array_remove(items, x))), x -> size(x) < size(items) and size(x) > 0)")
+    wider = kept.select("items", F.explode(parts).alias("part")).join(kept.select(F.col("items").alias("part")), "part").select("items").distinct()
+    return written(kept.join(wider, "items", "left_anti").select("token", "items", "confidence", "support"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, mined: DataFrame | None = None) -> DataFrame:
@@ -91,7 +100,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str, str]
         for i, (v, h, s) in enumerate(rules)
     ])
     p = p.withColumn("best", F.array_min(F.filter(fits, lambda x: x.isNotNull())))
-    # The rules of the index as one row: at most MOST sets, each a few tokens, made a map from token to sets.
+    # The rules of the index as one row, made a map from token to sets. A set stands in SUPPORT of the blocked URLs, so there
+    # are at most 1 / SUPPORT times as many as a URL has choices of LONGEST tokens or fewer: a bound that knows no number of pages.
     index = mined.select("token", F.struct("confidence", "support", "items").alias("r")).groupBy("token").agg(F.collect_list("r").alias("rs"))
     index = index.agg(F.map_from_entries(F.collect_list(F.struct("token", "rs"))).alias("index"))
     held = F.filter(F.flatten(F.transform(F.filter("items", lambda x: F.map_contains_key("index", x)), lambda x: F.col("index")[x])), lambda r: F.size(F.array_except(r["items"], F.col("items"))) == 0)
