@@ -1,12 +1,14 @@
 """Approximate nearest neighbours: a robust-pruned directed graph per shard, searched by beams.
 
 Distinct vectors are dealt to shards of a bounded size. A shard builds its graph in numpy: greedy searches propose
-neighbours, and pruning with a relaxed distance keeps an edge only where no kept one leads there anyhow. Queries come in
-blocks, each block searches every shard, and scores are taken on the original vectors in double precision.
+neighbours, and pruning with a relaxed distance keeps an edge only where no kept one leads there anyhow. Queries stream
+past every shard's graph, and scores are taken on the original vectors in double precision.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,8 +17,8 @@ from pyspark.sql.window import Window
 
 from .common import written
 
-#: Vectors of a shard, queries of a block.
-SHARD, BLOCK = 8192, 8192
+#: Vectors of a shard.
+SHARD = 8192
 DEGREE, RELAX = 32, 1.2
 BUILD_BEAM, SEARCH_BEAM = 64, 160
 #: Nodes that a beam expands at a time, and places where it starts.
@@ -67,6 +69,11 @@ def beam(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, starts: np.ndarray
     return np.where(np.isfinite(dist), ids, -1), dist
 
 
+def pruned(x: np.ndarray, norms: np.ndarray, node: np.ndarray, ids: np.ndarray, relax: float, degree: int, most: int = 256) -> np.ndarray:
+    """``prune`` for ``most`` nodes at a time."""
+    return np.concatenate([prune(x, norms, node[k : k + most], ids[k : k + most], relax, degree) for k in range(0, len(node), most)])
+
+
 def prune(x: np.ndarray, norms: np.ndarray, node: np.ndarray, ids: np.ndarray, relax: float, degree: int) -> np.ndarray:
     """Robust pruning of each node's candidates (-1: none): the nearest stays, and takes away those it is much nearer to."""
     ids = np.sort(ids, 1)
@@ -77,7 +84,9 @@ def prune(x: np.ndarray, norms: np.ndarray, node: np.ndarray, ids: np.ndarray, r
     order = np.argsort(d, 1, kind="stable")
     at, d = np.take_along_axis(at, order, 1), np.take_along_axis(d, order, 1)
     alive, out, rows = np.isfinite(d), np.full((len(node), degree), -1, np.int32), np.arange(len(node))
-    points, own = x[at], norms[at]
+    own, points = norms[at], x[at]
+    # All candidates against each other in one product; each choice then reads a row of it.
+    inner = np.matmul(points, points.transpose(0, 2, 1))
     for k in range(degree):
         first = alive.argmax(1)
         has = alive[rows, first]
@@ -85,7 +94,7 @@ def prune(x: np.ndarray, norms: np.ndarray, node: np.ndarray, ids: np.ndarray, r
             break
         chosen = at[rows, first]
         out[has, k] = chosen[has]
-        between = own + norms[chosen][:, None] - 2 * np.matmul(points, x[chosen][:, :, None])[:, :, 0]
+        between = own + norms[chosen][:, None] - 2 * inner[rows, first]
         alive &= (relax * relax * between > d) & has[:, None]
         alive[rows, first] = False
     return out
@@ -108,7 +117,7 @@ def build(x: np.ndarray, degree: int = DEGREE, relax: float = RELAX, width: int
         for k in range(0, n, batch):
             node = order[k : k + batch]
             found, _ = beam(x, norms, graph, starts, x[node], width)
-            graph[node] = prune(x, norms, node, np.concatenate([found, graph[node]], 1), alpha, degree)
+            graph[node] = pruned(x, norms, node, np.concatenate([found, graph[node]], 1), alpha, degree)
             # Edges back, nearest first; a node with too many is pruned.
             source, target = np.repeat(node, degree), graph[node].ravel()
             source, target = source[target >= 0], target[target >= 0]
@@ -121,7 +130,7 @@ def build(x: np.ndarray, degree: int = DEGREE, relax: float = RELAX, width: int
             extra = np.full((len(into), most), -1, np.int32)
             fits = place < most
             extra[np.repeat(np.arange(len(into)), count)[fits], place[fits]] = source[fits]
-            graph[into] = prune(x, norms, into, np.concatenate([graph[into], extra], 1), alpha, degree)
+            graph[into] = pruned(x, norms, into, np.concatenate([graph[into], extra], 1), alpha, degree)
     return graph, starts
 
 
@@ -153,53 +162,74 @@ def index(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
     return written(dealt.groupBy("shard", "dim").applyInPandas(_built, "shard int, dim int, rep long, v array<double>, near array<int>, start boolean"))
 
 
-def _searcher(top: int, width: int):
-    def search(nodes: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(nodes) or not len(queries):
-            return pd.DataFrame({"q": [], "rep": [], "score": []})
+class _Shard:
+    """A shard's graph, once all of its nodes have come."""
+
+    def __init__(self, nodes: pd.DataFrame):
         nodes = nodes.sort_values("rep", kind="stable")
-        v, q, rep = np.stack(nodes.v.tolist()), np.stack(queries.v.tolist()), nodes.rep.to_numpy()
-        x, graph = lifted(v), np.stack(nodes.near.tolist()).astype(np.int32)
-        norms, starts = np.einsum("nd,nd->n", x, x), np.flatnonzero(nodes.start.to_numpy())
-        out = []
+        self.v, self.rep = np.stack(nodes.v.tolist()), nodes.rep.to_numpy()
+        self.x, self.graph = lifted(self.v), np.stack(nodes.near.tolist()).astype(np.int32)
+        self.norms, self.starts = np.einsum("nd,nd->n", self.x, self.x), np.flatnonzero(nodes.start.to_numpy(bool))
+
+    def search(self, q: np.ndarray, names: np.ndarray, top: int, width: int) -> Iterator[pd.DataFrame]:
         for k in range(0, len(q), 512):
             part = q[k : k + 512]
-            ids, _ = beam(x, norms, graph, starts, np.column_stack([part, np.zeros(len(part))]).astype(np.float32), width)
-            score = np.where(ids >= 0, np.einsum("qd,qkd->qk", part, v[ids]), -np.inf)
-            order = np.lexsort((rep[ids], -score))[:, :top]
+            ids, _ = beam(self.x, self.norms, self.graph, self.starts, np.column_stack([part, np.zeros(len(part))]).astype(np.float32), width)
+            score = np.where(ids >= 0, np.einsum("qd,qkd->qk", part, self.v[ids]), -np.inf)
+            order = np.lexsort((self.rep[ids], -score))[:, :top]
             ids, score = np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1)
             good = ids >= 0
-            out.append(pd.DataFrame({"q": np.repeat(queries.q.to_numpy()[k : k + 512], good.sum(1)), "rep": rep[ids[good]], "score": score[good]}))
-        return pd.concat(out)
+            yield pd.DataFrame({"q": np.repeat(names[k : k + 512], good.sum(1)), "rep": self.rep[ids[good]], "score": score[good]})
+
+
+def _searcher(top: int, width: int):
+    """Rows of one shard after the other, its nodes (q null) before its queries, which may be many and come in batches."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, held, shard = None, [], None
+        for b in batches:
+            for key, rows in b.groupby(["shard", "dim"], sort=False):
+                if key != place:
+                    place, held, shard = key, [], None
+                node = rows.q.isna().to_numpy()
+                if node.any():
+                    held.append(rows[node])
+                if not node.all():
+                    if shard is None and held:
+                        shard, held = _Shard(pd.concat(held)), []
+                    if shard:
+                        asked = rows[~node]
+                        yield from shard.search(np.stack(asked.v.tolist()), asked.q.to_numpy(np.int64), top, width)
 
     return search
 
 
-def nearest(vectors: DataFrame, top: int = TOP, every: int = EVERY, shard: int = SHARD, block: int = BLOCK, width: int = SEARCH_BEAM) -> DataFrame:
+def nearest(vectors: DataFrame, top: int = TOP, every: int = EVERY, shard: int = SHARD, width: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every`` its ``top`` nearest others.
 
     Nearness is the largest inner product; ties go to the smaller vec_id. Rows without an id, and null, zero and
     non-finite vectors take no part; an empty vector is a zero one. Vectors of another dimension aren't compared. Equal
     vectors are one node of the graph and come back as all their ids, the smallest first, so copies are found
-    exactly. A row that repeats whole counts once. With fewer others there are fewer ranks; no rows give no rows.
+    exactly. Rows that share an id count once, with the vector that sorts first. With fewer others there are fewer ranks; no rows give no rows.
     """
-    v = usable(vectors)
+    # Of rows with one id the smallest vector counts; written down, so that all that follows sees the same.
+    v = written(usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v")))
     same = Window.partitionBy("v").orderBy("vec_id")
     # row_number <= top + 1 is cut in every task before the shuffle: a vector that a third of all rows share is no burden.
-    first = written(v.dropDuplicates(["vec_id"]).withColumn("r", F.row_number().over(same)).where(F.col("r") <= top + 1))
+    first = written(v.withColumn("r", F.row_number().over(same)).where(F.col("r") <= top + 1))
     distinct = first.where("r = 1").select(F.col("vec_id").alias("rep"), "v")
     members = first.select("vec_id", "v").join(distinct, "v").select("rep", "vec_id")
-    asked = written(v.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).join(distinct, "v").select(F.col("vec_id").alias("query_id"), "rep", "v"))
+    asked = written(v.where(F.col("vec_id") % every == 0).join(distinct, "v").select(F.col("vec_id").alias("query_id"), "rep", "v"))
     queries = asked.groupBy(F.col("rep").alias("q")).agg(F.first("v").alias("v"))
     graph = index(distinct, shard)
 
-    blocks = max(1, -(-queries.count() // block))
     places = written(graph.select("shard", "dim").distinct())
-    many = queries.select("q", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block"))
-    many = many.join(F.broadcast(places), "dim")  # one row for each shard of SHARD vectors
-    nodes = graph.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    key = ["shard", "dim", "block"]
-    hits = nodes.groupBy(*key).cogroup(many.groupBy(*key)).applyInPandas(_searcher(top + 1, width), "q long, rep long, score double")
+    many = queries.select("q", "v", F.size("v").alias("dim")).join(F.broadcast(places), "dim")  # one row for each shard of SHARD vectors
+    # Each graph is shuffled once, and the queries stream past it.
+    nodes = graph.withColumn("q", F.lit(None).cast("long"))
+    both = nodes.unionByName(many, allowMissingColumns=True)
+    both = both.repartition(max(places.count(), 1), "shard", "dim").sortWithinPartitions("shard", "dim", F.col("q").asc_nulls_first())
+    hits = both.mapInPandas(_searcher(top + 1, width), "q long, rep long, score double")
 
     best = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
     hits = written(hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top + 1).select("q", "rep", "score"))

@@ -59,6 +59,11 @@ def test_few_and_no_rows(spark):
     assert ann.nearest(rows).count() == 2 and ann.nearest(rows.limit(0)).count() == 0 and ann.nearest(rows.where("vec_id = 0")).count() == 0
 
 
+def test_one_vector_for_each_id(spark):
+    rows = spark.createDataFrame([(0, [2.0, 0.0]), (0, [1.0, 3.0]), (1, [0.0, 1.0]), (1, [5.0, 5.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>").repartition(4)
+    assert [(r["vec_id"], r["score"]) for r in ann.nearest(rows).orderBy("rank").collect()] == [(2, 4.0), (1, 3.0)]
+
+
 def test_pruning_against_brute_force():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(40, 5)).astype(np.float32)
