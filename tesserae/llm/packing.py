@@ -40,7 +40,7 @@ NO_ID = -(2**63)
 #: Where str.split, str.lower and the tokenizer's own steps could differ: controls that only str.split takes for white space, and the sigma.
 _ODD = "\x1c\x1d\x1e\x1fΣ"
 #: Bytes of texts that are encoded at once.
-TEXTS = 8 << 20
+TEXTS = 5 << 20
 #: No pair of tokens has this rank; ranks and places in a word share one number.
 _NO_RANK, _PLACES = 1 << 40, 64
 
@@ -118,7 +118,7 @@ class Encoder:
     """
 
     #: The table of words has two generations of so many: a word of the older one moves up when it is met again.
-    WORDS = 400_000
+    WORDS = 250_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
