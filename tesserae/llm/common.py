@@ -102,10 +102,10 @@ def selected(docs: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
 
     A million ids or fewer go to the rows; more are joined by shuffling both.
     """
-    named = ids.select(F.col("doc_id").alias("_chosen"))
+    named = ids.select(F.col("doc_id").alias("_chosen"))  # told from a column of ``docs`` by its table
     if ids.count() <= MOST_SENT:
         named = F.broadcast(named)
-    return docs.join(named, docs["doc_id"] == F.col("_chosen"), "left_semi" if keep else "left_anti")
+    return docs.join(named, docs["doc_id"] == named["_chosen"], "left_semi" if keep else "left_anti")
 
 
 def remove(df: DataFrame) -> None:

@@ -63,3 +63,22 @@ def test_near_stage_links_from_eight_tenths_on(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, "").collect()) == [1, 10, 11]
     assert sorted(r["doc_id"] for r in near.near_duplicates(docs).where("kept").collect()) == [1, 2, 10, 11]
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.exact_stage, corpus_pipeline.near_stage, corpus_pipeline.secret_stage])
+def test_stages_with_odd_rows_and_clashing_names(spark, stage):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words), (1, words), (2, words), (None, words), (None, None), (3, None), (4, ""), (4, "")]
+    names = ("_chosen", "_row", "row", "sha", "place", "found", "n_bytes", "component_id")
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], f"doc_id long, text string, {', '.join(f'{n} int' for n in names)}")
+    got = stage(spark, docs, "")
+    left = got.collect()
+    assert got.columns == docs.columns and all(tuple(r)[2:] == tuple(range(len(names))) for r in left)
+    kept = sorted(((r["doc_id"], r["text"] or "") for r in left), key=str)
+    if stage is corpus_pipeline.exact_stage:
+        assert kept == sorted([(2, words), (4, "")], key=str)
+    elif stage is corpus_pipeline.near_stage:
+        assert kept == sorted(((i, t or "") for i, t in rows if (i, t) != (2, words)), key=str)
+    else:
+        assert kept == sorted(((i, t or "") for i, t in rows), key=str)
+    assert stage(spark, docs.limit(0), "").count() == 0
