@@ -40,7 +40,7 @@ NO_ID = -(2**63)
 #: Where str.split, str.lower and the tokenizer's own steps could differ: controls that only str.split takes for white space, and the sigma.
 _ODD = "\x1c\x1d\x1e\x1fΣ"
 #: Bytes of texts that are encoded at once.
-TEXTS = 5 << 20
+TEXTS = 1 << 20
 #: No pair of tokens has this rank; ranks and places in a word share one number.
 _NO_RANK, _PLACES = 1 << 40, 64
 
@@ -193,6 +193,8 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
                     part = ids[k : k + capacity]
                     rows.append((i, k // capacity, k, len(part), zlib.crc32(part)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
+            # A worker that is kept for later tasks, of other stages too, would hold the largest batch's memory.
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     small_batches(docs.sparkSession)
