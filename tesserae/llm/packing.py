@@ -14,11 +14,12 @@ import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
-from itertools import chain, islice
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
@@ -37,12 +38,10 @@ ROUNDS = 3
 #: What tells one piece from another; copy is a number of the row, as rows may share both others.
 KEY = ["doc", "piece", "copy"]
 NO_ID = -(2**63)
-#: Where str.split, str.lower and the tokenizer's own steps could differ: controls that only str.split takes for white space, and the sigma.
-_ODD = "\x1c\x1d\x1e\x1fΣ"
 #: Bytes of texts that are encoded at once.
 TEXTS = 1 << 20
-#: No pair of tokens has this rank; ranks and places in a word share one number.
-_NO_RANK, _PLACES = 1 << 40, 64
+#: No pair of tokens has this rank. Rank and place in a word share one number, so words of more bytes than places go another way.
+_NO_RANK, _PLACES = 1 << 24, 64
 
 
 class Merges:
@@ -53,72 +52,131 @@ class Merges:
             model = json.load(f)["model"]
         ids = model["vocab"]
         pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
-        left, right, self.made = (np.array([ids[x] for x in part], np.int64) for part in (*zip(*pairs, strict=True), [a + b for a, b in pairs]))
+        left, right, made = (np.array([ids[x] for x in part], np.int64) for part in (*zip(*pairs, strict=True), [a + b for a, b in pairs]))
+        self.made = made.astype(np.int32)
         self.size = max(ids.values()) + 1
-        key = left * self.size + right
-        self.by = np.argsort(key, kind="stable")
-        self.key = key[self.by]
+        # A table of ranks by a hash of the pair; the rank of an empty slot is the number of merges, whose key no pair has.
+        self.none = len(pairs)
+        self.key = np.append(left * self.size + right, -1)
+        self.shift = np.uint64(64 - max(8, (4 * self.none).bit_length()))
+        self.slots = np.full(1 << (64 - int(self.shift)), self.none, np.int32)
+        rank, at = np.arange(self.none, dtype=np.int32), self._slot(self.key[:-1])
+        while len(rank):
+            free = self.slots[at] == self.none
+            _, first = np.unique(at[free], return_index=True)
+            chosen = np.flatnonzero(free)[first]
+            self.slots[at[chosen]] = rank[chosen]
+            rest = np.setdiff1d(np.arange(len(rank)), chosen)
+            rank, at = rank[rest], (at[rest] + 1) % len(self.slots)
         # Each byte as the tokenizer writes it, within a word and at its end.
         printed = {c.encode("utf-8"): ids[c] for c in ids if len(c) == 1}
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         names = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
-        self.inner = np.array([printed[names[b].encode("utf-8")] for b in range(256)], np.int64)
-        self.final = np.array([ids[names[b] + model["end_of_word_suffix"]] for b in range(256)], np.int64)
+        self.inner = np.array([printed[names[b].encode("utf-8")] for b in range(256)], np.int32)
+        self.final = np.array([ids[names[b] + model["end_of_word_suffix"]] for b in range(256)], np.int32)
 
-    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a * self.size + b
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where(self.key[at] == key, self.by[at], _NO_RANK)
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
 
-    def __call__(self, words: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each word of at most ``_PLACES`` bytes, none of them empty."""
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) * self.size + b
+        at = self._slot(key)
+        rank = self.slots[at]
+        wrong = np.flatnonzero((self.key[rank] != key) & (rank != self.none))
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) % len(self.slots)
+            rank[wrong] = self.slots[at[wrong]]
+            wrong = wrong[(self.key[rank[wrong]] != key[wrong]) & (rank[wrong] != self.none)]
+        rank[rank == self.none] = _NO_RANK
+        return rank
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has. Each word has from one to ``_PLACES`` bytes."""
         n = len(words)
         if not n:
-            return []
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         size = np.fromiter(map(len, words), np.int64, n)
         raw = np.frombuffer(b"".join(words), np.uint8)
-        ends = np.cumsum(size)
+        starts = np.cumsum(size) - size
         token = self.inner[raw]
-        token[ends - 1] = self.final[raw[ends - 1]]
-        own = np.repeat(np.arange(n), size)
-        place = np.arange(len(raw)) - np.repeat(ends - size, size)
-        rank = np.full(len(raw), _NO_RANK)
-        inside = np.flatnonzero(own[:-1] == own[1:])
-        rank[inside] = self._rank(token[inside], token[inside + 1])
+        token[starts + size - 1] = self.final[raw[starts + size - 1]]
+        place = (np.arange(len(raw)) - np.repeat(starts, size)).astype(np.int32)
+        # What stands at a token is the score of the pair it begins.
+        score = np.full(len(raw), _NO_RANK * _PLACES, np.int32)
+        score[:-1] = self._rank(token[:-1], token[1:]) * _PLACES
+        score[starts + size - 1] = _NO_RANK * _PLACES
+        score += place
+        word = np.arange(n)
         out = []
-        while len(token):
-            score = rank * _PLACES + place
-            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        while len(word):
             best = np.minimum.reduceat(score, starts)
-            over = np.repeat(best, np.diff(np.append(starts, len(own))))
-            done = over >= _NO_RANK * _PLACES
-            out.append((own[done], token[done]))
-            at = np.flatnonzero((score == over) & ~done)
-            token[at] = self.made[rank[at]]
-            done[at + 1] = True  # taken into the token before it
-            keep = ~done
-            now = (np.cumsum(keep) - 1)[at]
-            token, own, place, rank = token[keep], own[keep], place[keep], rank[keep]
-            for k in (now, now[now > 0] - 1):
-                k = k if len(k) else np.zeros(0, np.int64)
-                after = np.minimum(k + 1, len(own) - 1)
-                fits = (after > k) & (own[k] == own[after])
-                rank[k] = np.where(fits, self._rank(token[k], token[after]), _NO_RANK)
-        owner, token = (np.concatenate(x) for x in zip(*out, strict=True))
-        order = np.argsort(owner, kind="stable")
-        flat, cuts = token[order].astype("<u4").tobytes(), (4 * np.cumsum(np.bincount(owner, minlength=n))).tolist()
-        return [flat[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
+            live = best < _NO_RANK * _PLACES
+            if not live.all():
+                going = np.repeat(live, size)
+                out.append((word[~live], size[~live], token[~going]))
+                word, size, best, token, score, place = word[live], size[live], best[live], token[going], score[going], place[going]
+                if not len(word):
+                    break
+            at = np.flatnonzero(score == np.repeat(best, size))
+            token[at] = self.made[best // _PLACES]
+            keep = np.ones(len(token), bool)
+            keep[at + 1] = False  # taken into the token before it
+            token, score, place = token[keep], score[keep], place[keep]
+            now = at - np.arange(len(at))
+            size = size - 1
+            starts = np.cumsum(size) - size
+            last = now == starts + size - 1
+            score[now[last]] = _NO_RANK * _PLACES + place[now[last]]
+            k = np.concatenate([now[~last], now[now > starts] - 1])
+            score[k] = self._rank(token[k], token[k + 1]) * _PLACES + place[k]
+        word, size, token = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.argsort(word)
+        return token[_runs((np.cumsum(size) - size)[order], size[order])], size[order]
+
+
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of runs that begin at ``first`` and have ``size`` members, one run after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class _Words:
+    """Words met so far, each with its ids in one growing array."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, int] = {}
+        self.first, self.size, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, "<u4")
+        self.used = 0
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """The number of each word, -1 for one that isn't known."""
+        return np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+
+    def add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        """New words, the ids of all of them, and how many each has."""
+        n, more = len(self.at), len(words)
+        while n + more > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.first[n : n + more] = self.used + np.cumsum(size) - size
+        self.size[n : n + more] = size
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.at.update(zip(words, range(n, n + more), strict=True))
 
 
 class Encoder:
     """Ids of whole texts, word by word: the tokenizer drops white space and never joins words across it.
 
-    Words are kept in lower case. Each distinct word of a batch is looked up once, and a text's ids are gathered from those
-    of its words; a word that isn't known is cut by the tokenizer's own pattern, and its parts go through the merges.
+    Each distinct word of a batch is looked up once, and a text's ids are gathered from those of its words; a word that
+    isn't known is put in lower case and cut by the tokenizer's own pattern, and its parts go through the merges.
     """
 
     #: The table of words has two generations of so many: a word of the older one moves up when it is met again.
     WORDS = 250_000
+    #: A letter and a sign that can't go on with it: the tokenizer cuts here, so a blank changes no id, and words repeat more.
+    CUT = r"([A-Za-z])([!-&(-/:-@])"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -126,48 +184,75 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.merges = Merges(path)
         self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.words: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words, self.old = _Words(), _Words()
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn(self, words: list[str]) -> None:
-        # A word of letters alone is just one part.
-        plain = [w for w in words if w.isalpha() and len(w) <= _PLACES // 4]
-        self.words.update(zip(plain, self.merges([w.encode("utf-8") for w in plain]), strict=True))
-        other = [w for w in words if w not in self.words]
-        cut = [self.parts.findall(w) for w in other]
-        parts = [p.encode("utf-8") for p in chain.from_iterable(cut)]
-        fits = iter(self.merges([p for p in parts if len(p) <= _PLACES]))
-        ids = iter([next(fits) if len(p) <= _PLACES else self._encode(p.decode("utf-8")).tobytes() for p in parts])
-        self.words.update((w, b"".join(islice(ids, len(ps)))) for w, ps in zip(other, cut, strict=True))
-
-    def batch(self, batch: list[str]) -> list[np.ndarray]:
+        plain, parts, count, other, whole = [], [], [], [], []
+        for w in words:
+            low = w.lower()
+            # Where str.lower, or the Unicode of another year, could differ from the tokenizer's own steps it takes the word.
+            if not w.isascii() and ("Σ" in w or not w.isprintable() or not unicodedata.is_normalized("NFC", w)):
+                whole.append(w)
+            elif len(low) <= _PLACES // 4 and low.isalpha():  # letters alone are just one part
+                plain.append((w, low.encode("utf-8")))
+            else:
+                cut = [p.encode("utf-8") for p in self.parts.findall(low)]
+                if max(map(len, cut), default=0) > _PLACES:
+                    whole.append(w)
+                else:
+                    other.append(w)
+                    count.append(len(cut))
+                    parts += cut
+        self.words.add([w for w, _ in plain], *self.merges([low for _, low in plain]))
+        ids, size = self.merges(parts)
+        ends, stop = np.concatenate([[0], np.cumsum(size)]), np.cumsum(np.array(count, np.int64))
+        self.words.add(other, ids, ends[stop] - ends[stop - np.array(count, np.int64)])
+        for w in whole:
+            ids = self._encode(w)
+            self.words.add([w], ids, np.array([len(ids)]))
+
+    def _known(self, words: list[str]) -> np.ndarray:
+        if len(self.words.at) > self.WORDS:
+            self.words, self.old = _Words(), self.words
+        at = self.words.find(words)
+        new = [words[i] for i in np.flatnonzero(at < 0).tolist()]
+        if new:
+            before = self.old.find(new)
+            met = before[before >= 0]
+            again = _runs(self.old.first[met], self.old.size[met])
+            self.words.add([new[i] for i in np.flatnonzero(before >= 0).tolist()], self.old.ids[again], self.old.size[met])
+            missing = [new[i] for i in np.flatnonzero(before < 0).tolist()]
+            for i in range(0, len(missing), 50_000):
+                self._learn(missing[i : i + 50_000])
+            at[at < 0] = self.words.find(new)
+        return at
+
+    def batch(self, texts: pa.StringArray | list[str]) -> list[np.ndarray]:
         """Unsigned 32-bit ids of each text, the separator at its end."""
-        odd = [any(c in t for c in _ODD) or not (t.isascii() or unicodedata.is_normalized("NFC", t)) for t in batch]
-        # A blank, which is no word, stands for the separator.
-        cut = [[" "] if x else [*t.lower().split(), " "] for t, x in zip(batch, odd, strict=True)]
-        coded = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
-        code, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
-        if len(self.words) > self.WORDS:
-            self.words, self.old = {}, self.words
-        self.words[" "] = np.array([SEPARATOR], "<u4").tobytes()
-        known = list(map(self.words.get, distinct))
-        new = [w for w, k in zip(distinct, known, strict=True) if k is None]
-        self.words.update((w, self.old[w]) for w in new if w in self.old)
-        missing = [w for w in new if w not in self.old]
-        for i in range(0, len(missing), 50_000):
-            self._learn(missing[i : i + 50_000])
-        found = map(self.words.__getitem__, new)
-        known = [next(found) if k is None else k for k in known]
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        pool, first, each = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size, size[code]
-        ends = np.cumsum(each)
-        flat = pool[np.repeat(first[code] - (ends - each), each) + np.arange(int(each.sum()))]
-        stop = ends[np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut))) - 1].tolist()
-        ids = [flat[i:j] for i, j in zip([0, *stop[:-1]], stop, strict=True)]
-        return [np.concatenate([self._encode(t), i]) if x else i for t, x, i in zip(batch, odd, ids, strict=True)]
+        column = texts if isinstance(texts, pa.StringArray) else pa.array(texts, pa.string())
+        if not len(column):
+            return []
+        # Controls that only Arrow takes for white space: the tokenizer has such texts whole.
+        odd = np.flatnonzero(pc.match_substring_regex(column, r"[\x1c-\x1f]").to_numpy(zero_copy_only=False)).tolist()
+        alone = {i: self._encode(column[i].as_py()) for i in odd}
+        if odd:
+            column = pc.if_else(pc.is_in(pa.array(range(len(column))), pa.array(odd)), "", column)
+        split = pc.utf8_split_whitespace(pc.replace_substring_regex(column, self.CUT, r"\1 \2"))
+        coded = split.flatten().dictionary_encode()
+        at = self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        first, size = self.words.first[at], self.words.size[at]
+        code = coded.indices.to_numpy()
+        each = size[code]
+        flat = self.words.ids[_runs(first[code], each)]
+        ends = np.concatenate([[0], np.cumsum(each)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        # Behind the ids of each text comes the separator.
+        flat = np.insert(flat, ends[1:], SEPARATOR)
+        stop = (ends + np.arange(len(ends))).tolist()
+        ids = [flat[i:j] for i, j in zip(stop[:-1], stop[1:], strict=True)]
+        return [np.concatenate([alone[i], x]) if i in alone else x for i, x in enumerate(ids)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -188,7 +273,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         encoder = _encoder(path)
         for b in by_bytes(batches, TEXTS):
             rows = []
-            for i, ids in zip(b.column("doc_id").to_pylist(), encoder.batch(b.column("text").to_pylist()), strict=True):
+            for i, ids in zip(b.column("doc_id").to_pylist(), encoder.batch(b.column("text")), strict=True):
                 for k in range(0, len(ids), capacity):
                     part = ids[k : k + capacity]
                     rows.append((i, k // capacity, k, len(part), zlib.crc32(part)))

@@ -93,3 +93,16 @@ def test_words_by_steps_are_the_tokenizers(text):
     t.encode_special_tokens = True
     got = packing.Encoder(path).batch([text, "", text.upper(), text * 2])
     assert [g.tolist() for g in got] == [[*t.encode(x, add_special_tokens=False).ids, 0] for x in (text, "", text.upper(), text * 2)]
+
+
+def test_every_character_is_the_tokenizers():
+    """All code points, in a word, alone and before a sign: those that only newer Unicode tables know, too."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    encoder = packing.Encoder(path)
+    for first in range(0, 0x110000, 1 << 16):
+        chars = [chr(c) for c in range(first, first + (1 << 16)) if not 0xD800 <= c < 0xE000]
+        batch = [f"a{c}B {c}, A{c}." for c in chars if first < 0x30000 or ord(c) % 64 == 0]
+        want = [[*x.ids, 0] for x in t.encode_batch(batch, add_special_tokens=False)]
+        assert [g.tolist() for g in encoder.batch(batch)] == want
