@@ -106,7 +106,7 @@ class Engine:
                 found = self.retrieve(v.select(name.alias("query_id"), "text"), filters)
                 return found.withColumn("query_id", F.substring_index("query_id", "\u0001", 1))
 
-            return agent.run(queries, units, self.cfg.agentic, self._answers)
+            return agent.run(queries, units, self.cfg.agentic, self._answers, agent.graded_by(self.complete) if self.complete else agent.grade)
         given = self._answers(self.retrieve(queries, filters))
         bare = queries.join(given.select("query_id"), "query_id", "left_anti").select("query_id", F.col("text").alias("query"), F.lit("").alias("text"), F.lit(False).alias("answerable"), F.lit(0.0).alias("groundedness"))
         return given.unionByName(bare, allowMissingColumns=True)

@@ -39,6 +39,13 @@ class Loop:
     max_total_tokens: int = 0
 
 
+LABELS = ("relevant", "ambiguous", "irrelevant")
+_GRADING = (
+    "Say of each numbered passage if it helps to answer the question, as a JSON array of objects with index (its number), "
+    'label ("relevant", "ambiguous" or "irrelevant") and score (0 to 1).'
+)
+
+
 def grade(units: DataFrame) -> DataFrame:
     """Units with grade_score, the share of the query's distinct content tokens that the text has, and a label."""
     share = X.coverage(X.content_tokens("query"), X.tokens(best_text()))
@@ -46,6 +53,42 @@ def grade(units: DataFrame) -> DataFrame:
     return units.withColumn("grade_score", share).withColumn("label", label)
 
 
+def graded_by(complete: Callable[..., str], chars: int = 600) -> Callable[[DataFrame], DataFrame]:
+    """A grader that asks a chat model once for all units of a query; where it fails or leaves a unit out, ``grade`` counts.
+
+    A query has as many units as the loop grades at most, so a group is small.
+    """
+    import pandas as pd
+
+    from ..sources.chat import parse_json
+
+    def ask(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("rank", kind="stable").reset_index(drop=True)
+        passages = "\n".join(f"{i}. {t}" for i, t in enumerate(g._b, 1))
+        try:
+            said = parse_json(complete(f"{_GRADING}\nQuestion: {g['query'].iloc[0]}\n{passages}", system="Answer with JSON alone.", temperature=0.0, max_tokens=400))
+        except (OSError, ValueError, KeyError):  # the endpoint is away or says something else
+            said = None
+        for verdict in said if isinstance(said, list) else []:
+            try:
+                at, label = int(verdict["index"]) - 1, str(verdict["label"]).lower()
+            except (TypeError, ValueError, KeyError):
+                continue
+            if 0 <= at < len(g) and label in LABELS:
+                try:
+                    score = float(verdict.get("score", 0.0))
+                except (TypeError, ValueError):
+                    score = 0.0
+                g.loc[at, ["label", "grade_score"]] = [label, score]
+        return g
+
+    def run(units: DataFrame) -> DataFrame:
+        rows = grade(units).withColumn("_b", F.translate(F.substring(best_text(), 1, chars), "\n", " "))
+        return rows.groupBy("query_id").applyInPandas(ask, rows.schema).drop("_b")
+
+    return run
+
+
 def dedupe(units: DataFrame) -> DataFrame:
     """Of a query's units with one chunk the best; of equals the one that comes first when written out."""
     best = Window.partitionBy("query_id", "chunk_id").orderBy(F.desc(final_score()), F.to_json(F.struct(*units.columns)))
@@ -75,7 +118,7 @@ def rewritten(query: Column, gap: Column, strong: Column) -> Column:
     return F.trim(F.concat_ws(" ", query, F.array_join(words, " ")))
 
 
-def run(queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame], cfg: Loop | None = None, answers: Callable[[DataFrame], DataFrame] = A.answer) -> DataFrame:
+def run(queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame], cfg: Loop | None = None, answers: Callable[[DataFrame], DataFrame] = A.answer, grader: Callable[[DataFrame], DataFrame] = grade) -> DataFrame:
     """One row per query of (query_id, text): the answer columns, round, stop, evidence, and what the loop cost.
 
     ``retrieve`` gives units of (query_id, text). A question ends when its answer is grounded, when a budget or stop
@@ -90,7 +133,7 @@ def run(queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame], cfg: Loo
         asked = open_.select("query_id", F.col("query").alias("text"))
         found = dedupe(retrieve(asked).withColumn("query_id", F.col("query_id").cast("string")).drop("query")).join(open_.select("query_id", "query"), "query_id")
         counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
-        units = grade(cut(found, cfg.max_graded_candidates)).checkpoint()
+        units = grader(cut(found, cfg.max_graded_candidates)).checkpoint()
         hits = F.count_if(F.coalesce(F.col("channels")["bm25"], F.lit(0.0)) > cfg.legacy_lexical_min) if cfg.legacy_lexical_min is not None else F.count_if(F.map_contains_key("channels", "bm25"))
         state = units.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == "relevant").alias("relevant"), hits.alias("lexical"))
         spec = E.query_spec(asked)

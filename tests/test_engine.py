@@ -68,6 +68,24 @@ def test_answers_are_cited_and_grounded(spark, engine):
     assert looped["q0"]["answerable"] and not looped["q1"]["answerable"] and looped["q1"]["stop"] == "no_lexical_hit"
 
 
+def test_a_model_grades_and_what_it_leaves_out_is_graded_by_words(spark, engine):
+    units = engine.retrieve(asked(spark, "reciprocal rank fusion constant", "parent children chunks"))
+    plain = {(r["query_id"], r["rank"]): (r["label"], r["grade_score"]) for r in agent.grade(units).collect()}
+
+    def model(prompt, system="", temperature=0.2, max_tokens=0):
+        if "parent" in prompt.split("\n")[1]:
+            raise OSError("away")
+        return 'So: [{"index": 1, "label": "Irrelevant", "score": "0.1"}, {"index": 99, "label": "relevant"}, {"index": 2, "label": "fine"}, 7]'
+
+    rows = agent.graded_by(model)(units).collect()
+    got = {(r["query_id"], r["rank"]): (r["label"], r["grade_score"]) for r in rows}
+    assert got == {**plain, ("q0", 1): ("irrelevant", 0.1)} and plain[("q0", 1)][0] == "relevant"
+    assert {r["chunk_id"]: r["channels"] for r in rows} == {r["chunk_id"]: r["channels"] for r in units.collect()}
+    for said in ("no", "{}", ""):
+        rows = agent.graded_by(lambda *a, said=said, **k: said)(units).collect()
+        assert {(r["query_id"], r["rank"]): (r["label"], r["grade_score"]) for r in rows} == plain
+
+
 def test_context_keeps_the_budget():
     units = [{"chunk_id": f"c{i}", "best": " ".join(["word"] * 10 + [f"w{i}"]), "final": 1 - i / 10} for i in range(6)]
     chosen = answer.select_context(units, 35)
