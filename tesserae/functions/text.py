@@ -61,7 +61,8 @@ def char_ngrams(text: Column | str, n: int = 3) -> Column:
     none = F.array().cast("array<string>")
 
     def grams(t: Column) -> Column:
-        several = F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))
+        # Each match is one character and looks ahead, so a text is read once; substring() would count from its start each time.
+        several = F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
         return F.when(F.length(t) >= n, several).when(F.length(t) > 0, F.array(t)).otherwise(none)
 
     # An array of one element binds the text, which else each step would make anew.

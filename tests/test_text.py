@@ -71,3 +71,13 @@ def test_packing_keeps_all_words(parts, most):
 def test_hard_split():
     long = " ".join(["word"] * 2000)
     assert [segment.count_tokens(p) for p in segment.hard_split(long)] == [900, 900, 200]
+
+
+def test_grams_of_a_long_text_are_made_in_one_pass(column):
+    import time
+
+    values = ["𝒳a\n𝒴bc", "ab" * 400_000]
+    began = time.time()
+    got = column(values, text.char_ngrams)
+    assert got[0] == ["𝒳a𝒴", "a𝒴b", "𝒴bc"] and len(got[1]) == 799_998 and set(got[1]) == {"aba", "bab"}
+    assert time.time() - began < 30
