@@ -81,6 +81,7 @@ def generation(answers: DataFrame, dim: int = 512) -> DataFrame:
     from ..functions import vectors as V
     from .embed import embed
 
+    answers = stored(answers)  # read three times
     q = embed(answers.select("query_id", F.col("query").alias("text")), dim, "query_id").withColumnRenamed("vector", "qv")
     a = embed(answers.select("query_id", "text"), dim, "query_id").withColumnRenamed("vector", "av")
     rows = answers.join(q, "query_id").join(a, "query_id").withColumn("relevancy", F.round(V.dot("qv", "av"), 4))

@@ -11,3 +11,16 @@ def test_holders_of_passages_with_and_without_an_inner_word(spark):
     want = {(q, d) for q, p in enumerate(asked) for d, t in enumerate(texts) if p is not None and t is not None and p in t}
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
     assert metrics.holders(spark.createDataFrame([(1, None)], "query_id long, text string"), docs).count() == 0
+
+
+def test_generation_computes_the_answers_once(spark, tmp_path):
+    def run(batches):
+        for b in batches:
+            with open(tmp_path / "read", "a") as f:
+                f.write("x" * b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([("q1", "alpha beta", "alpha", 1.0, 0.5, True), ("q2", "gamma", "delta", 0.0, 0.5, False)], "query_id string, query string, text string, groundedness double, citation_coverage double, answerable boolean")
+    got = metrics.generation(rows.mapInArrow(run, rows.schema)).first()
+    assert (got["faithfulness"], got["citation_coverage"], got["answerable_rate"]) == (0.5, 0.5, 0.5)
+    assert (tmp_path / "read").read_text() == "xx"  # three times before
