@@ -131,7 +131,7 @@ def run(queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame], cfg: Loo
     tries: list[DataFrame] = []
     for k in range(1, cfg.max_rounds + 1):
         asked = open_.select("query_id", F.col("query").alias("text"))
-        found = dedupe(retrieve(asked).withColumn("query_id", F.col("query_id").cast("string")).drop("query")).join(open_.select("query_id", "query"), "query_id")
+        found = dedupe(retrieve(asked).withColumn("query_id", F.col("query_id").cast("string")).drop("query")).join(open_.select("query_id", "query"), "query_id").checkpoint()
         counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
         units = grader(cut(found, cfg.max_graded_candidates)).checkpoint()
         hits = F.count_if(F.coalesce(F.col("channels")["bm25"], F.lit(0.0)) > cfg.legacy_lexical_min) if cfg.legacy_lexical_min is not None else F.count_if(F.map_contains_key("channels", "bm25"))
